@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_chunks, packing, sharding, token_count
+from . import bpe_chunks, license_scan, packing, secret_scan, sharding, token_count
 from .common import read
 
 
@@ -16,6 +16,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -33,6 +41,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_counts, op5_packing, op8_bpe_chunks, op9_sharding)
+    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_token_counts, op5_packing, op8_bpe_chunks, op9_sharding)
 }
 ORACLES: dict[str, str] = {"op9_sharding": sharding.oracle()}
