@@ -60,3 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def labelled_sample(labels: DataFrame, column: str, rows: int, where: F.Column | None = None) -> DataFrame:
+    """At most about ``rows`` labelled documents (doc_id, y), spread evenly by a hash of doc_id: small enough to broadcast whatever the labels' size."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y is not null")
+    if where is not None:
+        known = known.where(where)
+    share = min(1.0, rows / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return chosen.groupBy("doc_id").agg(F.max("y").alias("y")).limit(2 * rows)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_chunks, license_scan, packing, secret_scan, sharding, token_count
+from . import bpe_chunks, license_scan, packing, quality, secret_scan, sharding, token_count, toxicity
 from .common import read
 
 
@@ -32,6 +33,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+    scored = toxicity.score(documents, toxicity.fit(documents, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return quality.assess(documents, quality.fit(documents, read(spark, sf_dir, "labels")))
+
+
 def op8_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encode_decode(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -41,6 +54,6 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_token_counts, op5_packing, op8_bpe_chunks, op9_sharding)
+    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_token_counts, op5_packing, op6_toxicity, op7_quality, op8_bpe_chunks, op9_sharding)
 }
 ORACLES: dict[str, str] = {"op9_sharding": sharding.oracle()}
