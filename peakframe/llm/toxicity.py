@@ -29,7 +29,7 @@ from .common import batch, labelled_sample, map_arrow, texts
 #: Labelled documents that the model is fitted on, at most; buckets, weight of the prior in tokens, drift, cap of a token's score.
 SAMPLE, BUCKETS, PRIOR, DRIFT, CAP = 20_000, 1 << 19, 2_000.0, 0.1, 6.0
 #: Standard errors that a log-odds must exceed 0 by: a form met in one document tells nothing. A document counts a token so often at most.
-SURE, REPEATS = 2.0, 3
+SURE, REPEATS = 3.0, 3
 #: A passage counts as significant below this p-value. Distinct tokens whose scores a worker keeps. Lengths of the beginnings.
 SIGNIFICANT, MAX_TOKENS, BEGINNINGS = 0.05, 300_000, range(3, 9)
 _TOKEN = re.compile(r"\w+")
