@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, license_scan, packing, quality, secret_scan, sharding, token_count, toxicity
+from . import bpe_chunks, jaccard_join, lattice_dedup, license_scan, packing, quality, secret_scan, sharding, token_count, toxicity
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -53,7 +57,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_token_counts, op5_packing, op6_toxicity, op7_quality, op8_bpe_chunks, op9_sharding)
+    f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_token_counts, op4_jaccard_join, op5_packing, op6_toxicity, op7_quality, op8_bpe_chunks, op9_sharding, op10_lattice_dedup)
 }
 ORACLES: dict[str, str] = {"op9_sharding": sharding.oracle()}
