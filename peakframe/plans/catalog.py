@@ -26,4 +26,4 @@ def query(sql: str | None = None):
 
 
 
-from . import pair_queries, peak_queries, psm_queries, report_queries, sequence_queries  # noqa: E402, F401
+from . import kernel_queries, pair_queries, peak_queries, psm_queries, report_queries, sequence_queries  # noqa: E402, F401
