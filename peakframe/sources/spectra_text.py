@@ -77,7 +77,7 @@ def read_pkl(spark: SparkSession, path: str) -> DataFrame:
 
 def read_dta(spark: SparkSession, path: str) -> DataFrame:
     """A file for each spectrum: parent mass and charge, then peaks."""
-    r = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "\r", "").alias("r"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"))
+    r = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "\r", "").alias("r"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"))
     r = r.withColumn("n", _lines(F.col("r"), NUMBER)).where(F.size("n") > 0)
     head = F.split(F.trim(F.col("n")[0]), r"[ \t]+")
     mass, z = head[0].try_cast("double"), F.try_element_at(head, F.lit(2)).try_cast("int")
