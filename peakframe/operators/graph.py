@@ -20,13 +20,10 @@ def component_of(edges: DataFrame) -> DataFrame:
 
 
 def merge_sets(edges: DataFrame, least: int) -> DataFrame:
-    """node, set: components of at least ``least`` nodes, numbered densely from 0 by their smallest node; other nodes have -1.
-
-    The numbering ranks components only, of which there are fewer than nodes; sizes come from partial sums.
-    """
+    """node, set: components of at least ``least`` nodes, numbered densely from 0 by their smallest node; other nodes have -1."""
     cc = connected_components(edges, "spec1", "spec2")
     large = cc.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    numbered = large.select("component", (F.row_number().over(Window.orderBy("component")) - 1).alias("set"))
+    numbered = renumber(large, "component").select(F.col("value").alias("component"), F.col("index").alias("set"))
     return cc.join(numbered, "component", "left").select("node", F.coalesce("set", F.lit(-1)).cast("long").alias("set"))
 
 

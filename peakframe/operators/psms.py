@@ -35,6 +35,7 @@ def q_values(hits: DataFrame, scale: float = 1.0, keys: tuple[str, ...] = ("scan
     """
     by = by or []
     part = [F.col(c) for c in by]
+    hits = cut_lineage(hits)  # read four times below
     bounds = hits.groupBy(*part).agg(F.percentile_approx("score", [i / slices for i in range(1, slices)], 10_000).alias("__bounds"))
     sliced = hits.join(F.broadcast(bounds), by) if by else hits.withColumn("__bounds", bounds.scalar())
     sliced = sliced.withColumn("__slice", -F.size(F.filter("__bounds", lambda b: b < F.col("score")))).drop("__bounds")  # rising with falling score; equal scores share a slice

@@ -1,29 +1,4 @@
-"""Named queries over the supplied tables, with the SQL that gives the same rows."""
+"""All registered queries and oracles."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name; ``sql`` is what DuckDB runs to get the same rows."""
-
-    def add(f):
-        if f.__name__ in QUERIES:
-            raise ValueError(f"{f.__name__} is registered twice")
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-
-
-from . import kernel_queries, pair_queries, peak_queries, psm_queries, report_queries, sequence_queries  # noqa: E402, F401
+from . import kernel_queries, pair_queries, peak_queries, psm_queries, report_queries, sequence_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

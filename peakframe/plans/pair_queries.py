@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import pairs as Q
 from . import views as V
-from .catalog import query
+from .registry import query
 
 W = V.with_views
 SOME = "(SELECT * FROM spectra WHERE parent_mass BETWEEN 1000 AND 1500)"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import peaks as P
 from . import views as V
-from .catalog import query
+from .registry import query
 
 W = V.with_views
 PEAKS = W("peaks")

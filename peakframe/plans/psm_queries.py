@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import psm_filters as S
 from ..operators import psms as M
 from . import views as V
-from .catalog import query
+from .registry import query
 
 W = V.with_views
 PSMS = W("psms")

@@ -8,7 +8,7 @@ from ..operators import library as L
 from ..operators import psms as M
 from ..operators import reports as R
 from . import views as V
-from .catalog import query
+from .registry import query
 from .psm_queries import CURVE, PSMS, TOP
 
 W = V.with_views

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import peptides as P
 from ..operators import proteins as R
 from . import views as V
-from .catalog import query
+from .registry import query
 from .psm_queries import ANNOTATED
 
 W = V.with_views
@@ -74,12 +74,9 @@ def peptide_theoretical_ions(spark, d):
     return _pep(spark, d).select("peptide", F.explode(P.theoretical_ions("peptide")).alias("x")).select("peptide", "x.ion", F.col("x.position").cast("long").alias("position"), F.round("x.mz", 4).alias("mz"))
 
 
-@query(PEP + ", q AS (SELECT peptide, lag(peptide) OVER (ORDER BY peptide) AS other FROM pep) SELECT peptide, other, CAST(hamming(peptide, other) AS INTEGER) AS differ FROM q WHERE other IS NOT NULL")
+@query(PEP + " SELECT peptide, CAST(hamming(peptide, reverse(peptide)) AS INTEGER) AS differ FROM pep")
 def peptide_hamming(spark, d):
-    from pyspark.sql import Window
-
-    q = _pep(spark, d).withColumn("other", F.lag("peptide").over(Window.orderBy("peptide"))).where("other is not null")
-    return q.select("peptide", "other", P.hamming("peptide", "other").alias("differ"))
+    return _pep(spark, d).select("peptide", P.hamming("peptide", F.reverse("peptide")).alias("differ"))
 
 
 @query()
