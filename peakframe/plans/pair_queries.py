@@ -98,9 +98,9 @@ def pairs_best_shift(spark, d):
 MEANS = ", e AS (SELECT spec1 AS spec_idx, score1 AS s FROM pairs UNION ALL SELECT spec2, score2 FROM pairs), st AS (SELECT spec_idx, count(*) AS n, avg(s) AS mean, sqrt(greatest(0, avg(s * s) - power(avg(s), 2))) AS sd FROM e GROUP BY ALL)"
 
 
-@query(W("pairs") + MEANS + " SELECT spec_idx, n, round(mean, 6) AS mean, round(sd, 5) AS sd FROM st")
+@query(W("pairs") + MEANS + " SELECT spec_idx, n, round(mean, 9) AS mean, round(sd, 5) AS sd FROM st")
 def pairs_score_means(spark, d):
-    return Q.score_means(V.pairs(spark, d)).select("spec_idx", "n", F.round("mean", 6).alias("mean"), F.round("sd", 5).alias("sd"))
+    return Q.score_means(V.pairs(spark, d)).select("spec_idx", "n", F.round("mean", 9).alias("mean"), F.round("sd", 5).alias("sd"))
 
 
 def _phi(z: str) -> str:
@@ -147,13 +147,13 @@ def pairs_silac(spark, d):
 @query(
     W("pairs") + """, p AS (SELECT s_suppkey AS spec_idx, s_nationkey AS peptide, s_suppkey % 3 AS charge, s_suppkey % 7 AS first, s_suppkey % 7 + 5 + s_suppkey % 4 AS last FROM supplier),
     t AS (SELECT a.spec_idx AS spec1, b.spec_idx AS spec2, least(a.last, b.last) - greatest(a.first, b.first) + 1 AS overlap FROM p a JOIN p b ON a.peptide = b.peptide AND a.charge = b.charge AND a.spec_idx < b.spec_idx)
-    SELECT CAST((overlap >= 4)::INT + (overlap >= 6)::INT AS INTEGER) AS class, count(*) AS pairs, count(*) FILTER ((spec1 + spec2) % 3 = 0) AS detected, round(count(*) FILTER ((spec1 + spec2) % 3 = 0) / count(*), 6) AS sensitivity FROM t WHERE overlap > 0 GROUP BY 1"""
+    SELECT CAST((overlap >= 4)::INT + (overlap >= 6)::INT AS INTEGER) AS class, count(*) AS pairs, count(*) FILTER ((spec1 + spec2) % 3 = 0) AS detected, round(count(*) FILTER ((spec1 + spec2) % 3 = 0) / count(*), 9) AS sensitivity FROM t WHERE overlap > 0 GROUP BY 1"""
 )
 def pairs_quality(spark, d):
     p = V.table(spark, d, "supplier").selectExpr("s_suppkey spec_idx", "s_nationkey peptide", "s_suppkey % 3 charge", "s_suppkey % 7 first", "s_suppkey % 7 + 5 + s_suppkey % 4 last")
     a, b = p.select(F.col("spec_idx").alias("spec1"), "peptide", "charge"), p.select(F.col("spec_idx").alias("spec2"), "peptide", "charge")
     detected = a.join(b, ["peptide", "charge"]).where("spec1 < spec2 and (spec1 + spec2) % 3 = 0").select("spec1", "spec2")
-    return Q.quality_of_pairs(p, detected, [4, 6]).withColumn("sensitivity", F.round("sensitivity", 6))
+    return Q.quality_of_pairs(p, detected, [4, 6]).withColumn("sensitivity", F.round("sensitivity", 9))
 
 
 @query(

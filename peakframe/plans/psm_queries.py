@@ -15,11 +15,11 @@ TOP = """, top AS (SELECT * FROM psms QUALIFY row_number() OVER (PARTITION BY sc
 CURVE = """, ranked AS (SELECT *, sum(CAST(is_decoy AS BIGINT)) OVER w AS d, row_number() OVER w AS rnk FROM top WINDOW w AS (ORDER BY score DESC, db_index, annotation_id, psm_no, p_value, is_decoy, scan, spectrum_file)),
 f AS (SELECT *, CASE WHEN rnk = d THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, d * 1.0::DOUBLE / (rnk - d)) END AS fdr FROM ranked),
 q AS (SELECT *, min(fdr) OVER (ORDER BY rnk DESC ROWS UNBOUNDED PRECEDING) AS q FROM f)"""
-OUT = " SELECT scan, spectrum_file, score, is_decoy, round(fdr, 6) AS fdr, round(q, 6) AS q, rnk AS rank FROM q"
+OUT = " SELECT scan, spectrum_file, score, is_decoy, round(fdr, 9) AS fdr, round(q, 9) AS q, rnk AS rank FROM q"
 
 
 def _curve(df):
-    return df.select("scan", "spectrum_file", "score", "is_decoy", F.round("fdr", 6).alias("fdr"), F.round("q", 6).alias("q"), F.col("rank").cast("long").alias("rank"))
+    return df.select("scan", "spectrum_file", "score", "is_decoy", F.round("fdr", 9).alias("fdr"), F.round("q", 9).alias("q"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(PSMS + TOP.format(more="") + CURVE + OUT)
@@ -86,10 +86,10 @@ def mod_filter(spark, d):
 
 @query(
     W("pairs") + """, s AS (SELECT unnest([shift1, shift2]) AS s FROM pairs), b AS (SELECT abs(CAST(trunc(s / 0.5) AS BIGINT)) AS bin, count(*) AS n FROM s GROUP BY 1)
-    SELECT bin, round(CASE WHEN n <= 1 OR bin * 0.5 > 90 THEN 0 ELSE n / (SELECT count(*) FROM s) END, 6) AS frequency FROM b"""
+    SELECT bin, round(CASE WHEN n <= 1 OR bin * 0.5 > 90 THEN 0 ELSE n / (SELECT count(*) FROM s) END, 9) AS frequency FROM b"""
 )
 def mod_frequency(spark, d):
-    return M.modification_frequency(V.pairs(spark, d), 0.5).select("bin", F.round("frequency", 6).alias("frequency"))
+    return M.modification_frequency(V.pairs(spark, d), 0.5).select("bin", F.round("frequency", 9).alias("frequency"))
 
 
 @query()

@@ -56,10 +56,10 @@ def library_representatives(spark, d):
     return L.representatives(s).withColumn("total", F.round("total", 6))
 
 
-@query(W("peaks") + ', x AS (SELECT spec_idx % 100 AS g, spec_idx AS member, CAST(floor(mz / 50) AS BIGINT) AS position, intensity AS value FROM peaks), m AS (SELECT g, count(DISTINCT member) AS n FROM x GROUP BY g) SELECT x.g AS "group", position, round(sum(value) / n, 6) AS value FROM x JOIN m ON m.g = x.g GROUP BY x.g, position, n')
+@query(W("peaks") + ', x AS (SELECT spec_idx % 100 AS g, spec_idx AS member, CAST(floor(mz / 50) AS BIGINT) AS position, intensity AS value FROM peaks), m AS (SELECT g, count(DISTINCT member) AS n FROM x GROUP BY g) SELECT x.g AS "group", position, round(sum(value) / n, 9) AS value FROM x JOIN m ON m.g = x.g GROUP BY x.g, position, n')
 def library_average(spark, d):
     x = V.peaks(spark, d).select((F.col("spec_idx") % 100).alias("group"), F.col("spec_idx").alias("member"), F.floor(F.col("mz") / 50).alias("position"), F.col("intensity").alias("value"))
-    return L.average_vectors(x).withColumn("value", F.round("value", 6))
+    return L.average_vectors(x).withColumn("value", F.round("value", 9))
 
 
 @query(W("library") + ", n AS (SELECT lib_idx, parent_mz + 1 AS parent_mz, library_quality, compound_name, charge FROM library WHERE lib_idx % 10 = 0) SELECT * FROM n UNION ALL SELECT * FROM library WHERE lib_idx NOT IN (SELECT lib_idx FROM n)")
@@ -104,9 +104,9 @@ def report_differences(spark, d):
     return R.differences(lib, R.update(lib, F.col("charge") == 1, "compound_name", "changed"), ["lib_idx"])
 
 
-@query(W("spectra") + " SELECT CAST(floor((parent_mass - 500) / 100) AS BIGINT) AS bucket, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM spectra WHERE parent_mass >= 500 AND parent_mass < 2500 GROUP BY 1")
+@query(W("spectra") + " SELECT CAST(floor((parent_mass - 500) / 100) AS BIGINT) AS bucket, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM spectra WHERE parent_mass >= 500 AND parent_mass < 2500 GROUP BY 1")
 def report_histogram(spark, d):
-    return R.histogram(V.spectra(spark, d), "parent_mass", 500.0, 2500.0, 20, True).select("bucket", F.round("share", 6).alias("share"))
+    return R.histogram(V.spectra(spark, d), "parent_mass", 500.0, 2500.0, 20, True).select("bucket", F.round("share", 9).alias("share"))
 
 
 @query(W("clusters") + " SELECT cluster_id, count(*) AS spectra, sum(precursor_intensity) AS precursor_intensity, " + ", ".join(f"count(*) FILTER (file_group = '{g}') AS group_{g}" for g in ("en", "fr", "de", "es")) + " FROM clusters GROUP BY cluster_id")
@@ -121,9 +121,9 @@ def _contigs(spark, d):
     return V.table(spark, d, "lineitem").selectExpr("l_suppkey prot_idx", "l_orderkey contig", "l_linenumber spectra", "cast(l_quantity as int) length", "l_partkey % 7 peptide")
 
 
-@query(CONTIGS + " SELECT prot_idx, count(*) AS contigs, CAST(sum(spectra) AS BIGINT) AS spectra, round(avg(spectra), 6) AS per_contig, max(length) AS longest, first(contig ORDER BY length DESC, contig) AS longest_contig, count(DISTINCT peptide) AS peptides FROM c GROUP BY ROLLUP (prot_idx)")
+@query(CONTIGS + " SELECT prot_idx, count(*) AS contigs, CAST(sum(spectra) AS BIGINT) AS spectra, round(avg(spectra), 9) AS per_contig, max(length) AS longest, first(contig ORDER BY length DESC, contig) AS longest_contig, count(DISTINCT peptide) AS peptides FROM c GROUP BY ROLLUP (prot_idx)")
 def report_project_stats(spark, d):
-    return R.project_stats(_contigs(spark, d)).withColumn("per_contig", F.round("per_contig", 6))
+    return R.project_stats(_contigs(spark, d)).withColumn("per_contig", F.round("per_contig", 9))
 
 
 @query(CONTIGS + ", p AS (SELECT s_suppkey AS prot_idx, s_name AS id FROM supplier), x AS (SELECT prot_idx, count(DISTINCT contig) AS contigs, CAST(sum(spectra) AS BIGINT) AS spectra FROM c WHERE length > 48 GROUP BY 1) SELECT p.prot_idx, id, contigs, spectra, p.prot_idx * 3 AS covered, round(p.prot_idx / 7.0::DOUBLE, 1) AS percent FROM p JOIN x ON x.prot_idx = p.prot_idx")
@@ -133,10 +133,10 @@ def report_proteins(spark, d):
     return R.protein_table(_contigs(spark, d).where("length > 48"), p, cover)
 
 
-@query("SELECT l_shipmode AS label, round(avg(CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 0 END), 6) AS accuracy, count(*) AS calls FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1")
+@query("SELECT l_shipmode AS label, round(avg(CASE WHEN l_discount > 0.05 THEN 100.0 ELSE 0 END), 9) AS accuracy, count(*) AS calls FROM (SELECT *, l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1")
 def report_accuracy(spark, d):
     rows = V.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("label"), (F.col("l_discount") > 0.05).alias("correct"))
-    return R.accuracy_by(rows, "label").withColumn("accuracy", F.round("accuracy", 6))
+    return R.accuracy_by(rows, "label").withColumn("accuracy", F.round("accuracy", 9))
 
 
 ANN = W("peaks", "spectra") + ", a AS (SELECT spec_idx, mz, intensity, CASE peak_no % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'y' END AS ion, peak_no % 5 AS position FROM peaks), s AS (SELECT spec_idx, 8 AS length, parent_mass / 2 AS peptide_mass FROM spectra)"
