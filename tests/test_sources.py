@@ -86,3 +86,15 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("scan").agg(F.max("best")).count() == 3
     timed = rows.withColumn("ts", F.timestamp_seconds(F.col("score")))
     assert {r.scan: r.score for r in ingest.best_in_window(timed, "ts", ["scan"], "score").collect()} == {0: 6.0, 1: 7.0, 2: 8.0}
+
+
+def test_mzxml(spark, tmp_path):
+    import base64
+
+    from peakframe.sources.mzxml import read_mzxml
+
+    packed = base64.b64encode(struct.pack(">4f", 100.5, 7, 200.25, 9)).decode()
+    (tmp_path / "a.mzXML").write_text(f'<msRun><scan num="3" msLevel="2" retentionTime="PT12.5S"><precursorMz precursorCharge="2" precursorIntensity="5.0">450.25</precursorMz><peaks precision="32">{packed}</peaks></scan><scan num="4" msLevel="1"><peaks precision="32"></peaks></scan></msRun>')
+    a, b = sorted(read_mzxml(spark, str(tmp_path / "a.mzXML")).collect())
+    assert (a.scan, a.ms_level, a.retention_time, a.parent_mz, a.parent_charge) == (3, 2, 12.5, 450.25, 2)
+    assert [tuple(p) for p in a.peaks] == [(100.5, 7.0), (200.25, 9.0)] and b.peaks == []
