@@ -124,3 +124,10 @@ def test_isolation_scores():
     good = np.arange(500) != 0
     assert s[0] >= Q.choose_threshold(s, good) > np.sort(s)[-2]
     assert Q.choose_threshold(s, np.ones(500, bool)) == np.inf
+
+
+def test_isolation_of_nearly_equal_rows():
+    x = np.full((300, 6), 0.1)
+    x[::2, 0] = np.nextafter(0.1, 1)
+    x[::3, 1] = np.nextafter(np.nextafter(0.1, 1), 1)
+    assert np.isfinite(Q.IsolationForest(x).score(x)).all() and np.isfinite(Q.IsolationForest(x[:1]).score(x)).all()
