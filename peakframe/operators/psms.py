@@ -6,10 +6,13 @@ results end in columns that tell rows apart, so ties don't depend on the order o
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import cut_lineage
+from .kernels import per_group
 
 TIES = ["db_index", "annotation_id", "psm_no", "p_value", "is_decoy"]
 
@@ -112,25 +115,53 @@ def modification_frequency(pairs: DataFrame, resolution: float) -> DataFrame:
     return bins.select("bin", F.when(odd, 0.0).otherwise(F.col("n") / total).alias("frequency"))
 
 
-def parsimony(matches: DataFrame, rounds: int = 10_000) -> DataFrame:
+#: Matches of parsimony that one task finishes by itself, once the rounds have brought them down to so many.
+LAST_TASK = 200_000
+
+
+def _greedy_cover(rows: list[dict]):
+    """The protein with most scans left, then the smallest index, again and again; counts in the heap are corrected when they come up."""
+    scans, proteins = {}, {}
+    for r in rows:
+        scans.setdefault(r["db_index"], set()).add(r["scan"])
+        proteins.setdefault(r["scan"], []).append(r["db_index"])
+    heap = [(-len(s), p) for p, s in scans.items()]
+    heapq.heapify(heap)
+    while heap:
+        n, p = heapq.heappop(heap)
+        left = scans[p]
+        if -n != len(left):
+            if left:
+                heapq.heappush(heap, (-len(left), p))
+            continue
+        for scan in sorted(left):
+            yield {"scan": scan, "db_index": p}
+            for other in proteins[scan]:
+                if other != p:
+                    scans[other].discard(scan)
+        scans[p] = set()
+
+
+def parsimony(matches: DataFrame, last_task: int = LAST_TASK) -> DataFrame:
     """Greedy set cover: scan, db_index assigned. Each round, every protein that no rival for any of its scans beats is taken at once.
 
     A protein beats another if it has more scans left, or as many and a smaller index. Taking all local winners of a round
-    gives the same assignment as taking the best one by one, in far fewer rounds.
+    gives the same assignment as taking the best one by one, in far fewer rounds; what is left at ``last_task`` matches or
+    fewer goes through the one-by-one form in a single task.
     """
-    left = cut_lineage(matches.select("scan", "db_index").where("db_index is not null").distinct())
+    left = cut_lineage(matches.select("scan", "db_index").where("db_index is not null and scan is not null").distinct())
     taken = None
-    for _ in range(rounds):
+    while left.limit(last_task + 1).count() > last_task:
         size = left.groupBy("db_index").agg(F.count("*").alias("n"))
         ranked = left.join(size, "db_index").withColumn("strength", F.struct(F.col("n"), (-F.col("db_index")).alias("i")))
         best = ranked.groupBy("scan").agg(F.max("strength").alias("top"))
-        winners = ranked.join(best, "scan").groupBy("db_index").agg(F.bool_and(F.col("strength") == F.col("top")).alias("wins")).where("wins").select("db_index")
-        now = cut_lineage(left.join(winners, "db_index").select("scan", "db_index"))
+        winners = ranked.join(best, "scan").groupBy("db_index").agg(F.bool_and(F.col("strength") == F.col("top")).alias("wins")).where("wins")
+        marked = left.join(winners, "db_index", "left").withColumn("wins", F.coalesce("wins", F.lit(False)))
+        state = cut_lineage(marked.withColumn("done", F.max("wins").over(Window.partitionBy("scan"))).where("wins or not done").select("scan", "db_index", "wins"))
+        now, left = state.where("wins").select("scan", "db_index"), state.where("not wins").select("scan", "db_index")
         taken = now if taken is None else taken.unionByName(now)
-        left = cut_lineage(left.join(now.select("scan"), "scan", "left_anti"))
-        if left.isEmpty():
-            break
-    return taken
+    rest = per_group(left.select(F.lit(0).alias("all"), F.col("scan").cast("long"), F.col("db_index").cast("long")), ["all"], ["db_index", "scan"], _greedy_cover, "scan long, db_index long")
+    return rest if taken is None else taken.unionByName(rest)
 
 
 def paired_scans(spectra: DataFrame, most: int, by: list[str]) -> DataFrame:

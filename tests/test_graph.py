@@ -52,8 +52,10 @@ def test_parsimony_equals_one_by_one(spark):
         scans = {s for s, p in left if p == best}
         want.update(dict.fromkeys(scans, best))
         left = {(s, p) for s, p in left if s not in scans}
-    got = M.parsimony(spark.createDataFrame(sorted(rows), "scan long, db_index long"))
-    assert {r.scan: r.db_index for r in got.collect()} == want
+    df = spark.createDataFrame(sorted(rows), "scan long, db_index long")
+    for last_task in (0, 60, 1000):
+        got = M.parsimony(df, last_task)
+        assert got.count() == len(want) and {r.scan: r.db_index for r in got.collect()} == want
 
 
 def test_greedy_matching_is_one_to_one(spark):
