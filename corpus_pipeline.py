@@ -45,10 +45,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows; each stage's table goes once the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            _drop(spark, before)
+        before = path
     return docs
