@@ -20,7 +20,7 @@ from .common import texts
 #: Phrases of the base, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, keyword, pattern of the name over words, SPDX identifier as words.
+#: label, keyword, pattern of the name over words, SPDX identifier as words (empty if another row has it).
 NAMES: list[tuple[str, str, str, str]] = [
     ("gpl-1.0", "gnu", r"gnu general public licen[sc]e (?:as published by the free software foundation )?(?:v ?1|version 1)(?: 0)?", "gpl 1 0(?: only| or later)?"),
     ("gpl-2.0", "gnu", r"gnu general public licen[sc]e (?:as published by the free software foundation )?(?:v ?2|version 2)(?: 0)?", "gpl 2 0(?: only| or later)?"),
@@ -33,7 +33,8 @@ NAMES: list[tuple[str, str, str, str]] = [
     ("lgpl", "gnu", r"gnu (?:lesser|library) general public licen[sc]e", "lgpl"),
     ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: version)?(?: [23])?", "lgpl"),
     ("agpl-3.0", "gnu", r"gnu affero general public licen[sc]e(?: v ?3| version 3)?", "agpl 3 0(?: only| or later)?"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?:v3| v3)?", "agpl"),
+    ("agpl", "agpl", r"(?:gnu )?agpl(?: v3)?", "agpl"),
+    ("agpl", "agplv3", r"(?:gnu )?agplv3", ""),
     ("gfdl", "gnu", r"gnu free documentation licen[sc]e(?: version 1 [123])?", "gfdl 1 [123](?: only| or later)?"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[sc]e (?:version )?1 1", "apache 1 1"),
     ("apache-2.0", "apache", r"apache (?:software )?licen[sc]e (?:v ?|version )?2 0", "apache 2 0"),
@@ -46,7 +47,8 @@ NAMES: list[tuple[str, str, str, str]] = [
     ("bsd-2-clause", "bsd", r"(?:2 clause|simplified|two clause) bsd(?: licen[sc]e)?|bsd 2 clause(?: licen[sc]e)?", "bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:3 clause|new|revised|modified|three clause) bsd(?: licen[sc]e)?|bsd 3 clause(?: licen[sc]e)?", "bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:4 clause|original|four clause) bsd(?: licen[sc]e)?|bsd 4 clause(?: licen[sc]e)?", "bsd 4 clause"),
-    ("0bsd", "0bsd", r"0bsd(?: licen[sc]e)?|zero clause bsd(?: licen[sc]e)?", "0bsd"),
+    ("0bsd", "0bsd", r"0bsd(?: licen[sc]e)?", "0bsd"),
+    ("0bsd", "zero", r"zero clause bsd(?: licen[sc]e)?", ""),
     ("bsd", "bsd", r"bsd (?:style )?licen[sc]e", "bsd"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[sc]e (?:version )?1 1", "mpl 1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[sc]e (?:v ?|version )?2 0", "mpl 2 0"),
@@ -54,7 +56,8 @@ NAMES: list[tuple[str, str, str, str]] = [
     ("epl-1.0", "eclipse", r"eclipse public licen[sc]e (?:v ?|version )?1 0", "epl 1 0"),
     ("epl-2.0", "eclipse", r"eclipse public licen[sc]e (?:v ?|version )?2 0", "epl 2 0"),
     ("epl", "eclipse", r"eclipse public licen[sc]e", "epl"),
-    ("cddl-1.0", "cddl", r"common development and distribution licen[sc]e|cddl(?: version)?(?: 1 0)?", "cddl 1 0"),
+    ("cddl-1.0", "cddl", r"cddl(?: version)?(?: 1 0)?", "cddl 1 0"),
+    ("cddl-1.0", "distribution", r"common development and distribution licen[sc]e", ""),
     ("cpl-1.0", "common", r"common public licen[sc]e(?: version 1 0)?", "cpl 1 0"),
     ("eupl-1.2", "eupl", r"eupl(?: v ?1 2| 1 2)?", "eupl 1 2"),
     ("eupl", "union", r"european union public licen[sc]e", "eupl 1 1"),
@@ -124,9 +127,9 @@ PASSAGES: list[tuple[str, str, str]] = [
     ("zlib", "altered", r"altered source versions must be plainly marked as such"),
     ("bsl-1.0", "boost", r"boost software licen[sc]e version 1 0 august 17th 2003"),
     ("wtfpl", "fuck", r"do what the fuck you want to public licen[sc]e"),
-    ("cc-by", "commons", r"creativecommons org licenses by [1-4] [05]"),
-    ("cc-by-sa", "commons", r"creativecommons org licenses by sa [1-4] [05]"),
-    ("cc", "creativecommons", r"creativecommons org licenses [a-z]+(?: [a-z]+)*(?: [1-4] [05])?"),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1-4] [05]"),
+    ("cc", "creativecommons", r"creativecommons org licenses (?!by (?:sa )?[1-4] [05](?![^ ]))[a-z]+(?: [a-z]+)*(?: [1-4] [05])?"),
     ("cc0-1.0", "creativecommons", r"creativecommons org publicdomain zero 1 0"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}"),
@@ -147,7 +150,7 @@ def rules() -> list[dict]:
     out = [{"pattern": phrase, "keyword": "cc" if phrase == "cc by" else "license", "class": 2, "label": label, "weight": 0.5, "base": True} for phrase, label in BASE.items()]
     out += [{"pattern": p, "keyword": k, "class": 0, "label": label, "weight": 0.95, "base": False} for label, k, p in PASSAGES]
     for around, strength, weight, by_id in PHRASINGS:
-        out += [{"pattern": around.format(spdx if by_id else name), "keyword": "spdx" if by_id else k, "class": strength, "label": label, "weight": weight, "base": False} for label, k, name, spdx in NAMES]
+        out += [{"pattern": around.format(spdx if by_id else name), "keyword": "spdx" if by_id else k, "class": strength, "label": label, "weight": weight, "base": False} for label, k, name, spdx in NAMES if spdx or not by_id]
     for r in out:
         r["pattern"] = f"(?<![^ ])(?:{r['pattern']})(?![^ ])"
     return out

@@ -1,4 +1,7 @@
+import random
 import re
+from re import _constants as C
+from re import _parser as parser
 
 from peakframe.llm import license_scan as L
 
@@ -54,5 +57,48 @@ def test_rules_are_sound():
         assert re.search(rf"(?<![a-z0-9]){r['keyword']}(?![a-z0-9])", r["pattern"].replace("[sc]", "s" if "licens" in r["keyword"] else "c")) or r["keyword"] in r["pattern"], r
 
 
+def _sample(parsed, rng):
+    """A random string that the parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        if op is C.LITERAL:
+            out += chr(arg)
+        elif op is C.IN:
+            kind, value = rng.choice(arg)
+            out += "x" if kind is C.NEGATE else chr(value if kind is C.LITERAL else rng.randint(*value))
+        elif op is C.NOT_LITERAL:
+            out += "x"
+        elif op is C.BRANCH:
+            out += _sample(rng.choice(arg[1]), rng)
+        elif op is C.SUBPATTERN:
+            out += _sample(arg[3], rng)
+        elif op is C.MAX_REPEAT:
+            out += "".join(_sample(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+        else:
+            assert op is C.ASSERT_NOT, op
+    return out
+
+
+def test_matches_of_every_branch_hold_the_keyword():
+    rng = random.Random(5)
+    for r in L.rules():
+        parsed = parser.parse(r["pattern"])
+        for text in {_sample(parsed, rng) for _ in range(100)}:
+            assert re.search(r["pattern"], text), (r, text)
+            assert r["keyword"] in text.split(" "), (r, text)
+
+
+def test_names_without_abbreviation(spark):
+    texts = [
+        "licensed under the Common Development and Distribution License", "Common Development and Distribution Licence", "SPDX-License-Identifier: CDDL-1.0", "CDDL version 1.0",
+        "https://creativecommons.org/licenses/by/4.0", "http://creativecommons.org/licenses/by-sa/3.0/", "Zero-Clause BSD License", "released under the zero clause BSD", "0BSD license", "the GNU AGPLv3",
+    ]
+    got = {r.doc_id: r for r in L.scan(awkward(spark, texts)).collect() if r.doc_id and r.doc_id >= 100}
+    for i, t in enumerate(texts):
+        assert (got[100 + i].labels, got[100 + i].score) == brute(t)[5:], t
+    assert [got[100 + i].labels for i in range(4)] == ["cddl-1.0"] * 4
+    assert "cc-by" in got[104].labels.split(",") and "cc-by-sa" in got[105].labels.split(",") and "0bsd" in got[106].labels.split(",") and got[109].labels == "agpl"
+
+
 def test_empty(spark):
     assert L.scan(empty(spark)).count() == 0
