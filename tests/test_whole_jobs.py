@@ -1,7 +1,8 @@
 """Queries without oracle against brute force over the whole of the smallest tables."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+from peakframe.functions.peptides import RESIDUE_MASS
 from peakframe.operators import kernels as K
 from peakframe.plans import views as V
 from peakframe.plans.catalog import QUERIES
@@ -29,3 +30,23 @@ def test_overlap_scores_of_all_spectra(spark):
     assert got == want
     mass = dict(spectra)
     assert any(mass[a] < 1000 for a, *_ in got) and any(mass[a] > 1500 for a, *_ in got)
+
+
+def test_spectral_probability_of_all_peaks(spark):
+    masses = sorted({round(m / 10) for m in RESIDUE_MASS.values()})
+    want = {}
+    for k, peaks in _peak_lists(spark).items():
+        scores = Counter(int(m / 10) for m, _ in peaks)
+        parent = max(scores) + 1
+        ways = [Counter() for _ in range(parent + 1)]  # probability by score, forwards
+        ways[0][0] = 1.0
+        for m in range(parent):
+            for step in masses:
+                if m + step <= parent:
+                    gain = scores[m + step] if m + step < parent else 0
+                    for s, p in ways[m].items():
+                        ways[m + step][s + gain] += p / len(masses)
+        total = sum(ways[parent].values())
+        want[k] = sum(p for s, p in ways[parent].items() if s >= max(1, len(peaks) // 2)) / total if total else 0.0
+    got = {r.spec_idx: r.p for r in QUERIES["kernel_spectral_probability"](spark, SMALL).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
