@@ -1,9 +1,10 @@
 """Count the tokens of each text under a unigram model, over a trie of its distinct words.
 
 A word's best segmentation is the one with the highest sum of piece scores; the best score of each
-prefix of the word depends on the prefix alone. The distinct words of a batch are put in a trie, and one
-walk computes the forward score once for each node, so words that begin alike share the work. Each
-terminal keeps the number of pieces on its best path.
+prefix of the word depends on the prefix alone. A task keeps one trie of the distinct words that it meets:
+a node holds the forward score of its prefix, computed once however many words begin so, and a terminal's
+count is the word's. The pieces are a trie of their own with failure links, walked along with the words, so
+that a node looks only at the pieces that really end there.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from sentencepiece import SentencePieceProcessor
 
 from .common import batch, map_arrow, texts
 
-#: Words that a worker keeps with their counts, in two generations; results don't depend on it.
-MAX_WORDS = 250_000
+#: Words that a worker keeps with their counts, in two generations, and nodes of its trie, which is begun anew when full; results don't depend on either.
+MAX_WORDS, MAX_NODES = 250_000, 250_000
+#: Moves of the piece trie that a worker remembers beyond the trie's own edges; others are found anew by the failure links.
+MAX_MOVES = 500_000
 SPACE = "▁"
 _FIELDS = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes_fallback", pa.int64())]
 SCHEMA = "doc_id long, n_words long, n_tokens long, n_bytes_fallback long"
@@ -34,63 +37,109 @@ class Unigram:
     def __init__(self, pieces: list[str]):
         total = math.log(sum(1 / (i + 1) for i in range(len(pieces))))
         self.score = {p: -math.log(i + 1) - total for i, p in reversed(list(enumerate(pieces)))}
-        self.longest = max(map(len, pieces), default=0)
+        self.longest = max(map(len, pieces), default=1)
         self.rare = -math.log(max(1, len(pieces))) - total - 1
+        self._link()
 
     @classmethod
     def of_file(cls, path: str) -> Unigram:
         model = SentencePieceProcessor(model_file=path)
         return cls([model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))])
 
-    def step(self, prefix: str, forward: list[tuple[float, int, int]]) -> tuple[float, int, int]:
-        """(score, pieces, byte pieces) of the best segmentation of prefix, given those of its own prefixes; of equal ones, that with fewer pieces, then the longer last piece."""
-        n, c = len(prefix), prefix[-1]
-        best = None
-        score = self.score
-        for start in range(max(0, n - self.longest), n):
-            s = score.get(prefix[start:])
-            if s is not None:
-                before = forward[start]
-                total, pieces = before[0] + s, before[1] + 1
-                if best is None or total > best[0] or total == best[0] and pieces < best[1]:
-                    best = (total, pieces, before[2])
-        if c not in score:
-            before, width = forward[n - 1], len(c.encode())
-            total, pieces = before[0] + width * self.rare, before[1] + width
-            if best is None or total > best[0] or total == best[0] and pieces < best[1]:
-                best = (total, pieces, before[2] + width)
-        return best
+    def _link(self) -> None:
+        """The trie of the pieces: moves by character, failure links, and for each state the (length, score) of all pieces that end there, the longest first."""
+        self.moves: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[tuple[int, float], ...]] = [()]
+        for piece, s in self.score.items():
+            node = 0
+            for c in piece:
+                if c not in self.moves[node]:
+                    self.moves[node][c] = len(self.moves)
+                    self.moves.append({})
+                    self.ends.append(())
+                node = self.moves[node][c]
+            self.ends[node] = ((len(piece), s),)
+        self.fail = [0] * len(self.moves)
+        queue = list(self.moves[0].values())
+        for node in queue:  # breadth first; grows while it is walked
+            for c, child in self.moves[node].items():
+                back = self.fail[node]
+                while back and c not in self.moves[back]:
+                    back = self.fail[back]
+                self.fail[child] = self.moves[back].get(c, 0)
+                queue.append(child)
+            self.ends[node] += self.ends[self.fail[node]]
+        self.spare = MAX_MOVES
+
+    def _move(self, state: int, c: str) -> int:
+        """The state of the longest suffix that begins a piece."""
+        at = state
+        while at and c not in self.moves[at]:
+            at = self.fail[at]
+        to = self.moves[at].get(c, 0)
+        if to and self.spare:
+            self.spare -= 1
+            self.moves[state][c] = to
+        return to
+
+    def step(self, path: list[tuple[int, float, int, int]], c: str) -> tuple[int, float, int, int]:
+        """(state, score, pieces, byte pieces) of a prefix that ends in ``c``, given those of its own prefixes from the empty one on; of equal scores that with fewer pieces, then the longer last piece."""
+        state = path[-1][0]
+        state = self.moves[state].get(c) or self._move(state, c)
+        total, pieces, spelt = -math.inf, 0, 0
+        for length, s in self.ends[state]:
+            _, before, n, b = path[-length]
+            s += before
+            if s > total or s == total and n + 1 < pieces:
+                total, pieces, spelt = s, n + 1, b
+        if c not in self.score:
+            _, before, n, b = path[-1]
+            width = len(c.encode("utf-8", "surrogatepass"))
+            s = before + width * self.rare
+            if s > total or s == total and n + width < pieces:
+                total, pieces, spelt = s, n + width, b + width
+        return state, total, pieces, spelt
 
 
 class Trie:
-    """Distinct words; a node is [children, is a word]. Walked depth first, with the forward scores of the path alone in memory."""
-
-    def __init__(self, words):
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-        self.nodes = 0
-
-    def counts(self, model: Unigram) -> dict[str, tuple[int, int]]:
-        """Pieces and byte pieces of each word."""
-        out: dict[str, tuple[int, int]] = {}
-        forward = [(0.0, 0, 0)]
-        stack = [(self.root, 0, "")]
-        while stack:
-            node, depth, prefix = stack.pop()
-            del forward[depth if depth else 1 :]
-            if depth:
-                forward.append(model.step(prefix, forward))
-                self.nodes += 1
-            for c, child in node.items():
-                if c:
-                    stack.append((child, depth + 1, prefix + c))
+    """Words by their characters; each node keeps its prefix's state and forward score. Beyond ``most`` nodes prefixes are still walked, but no longer kept."""
+
+    def __init__(self, model: Unigram, most: int = MAX_NODES):
+        self.model, self.most = model, most
+        self.children: list[dict[str, int] | None] = [{}]
+        self.at: list[tuple[int, float, int, int]] = [(0, 0.0, 0, 0)]
+
+    @property
+    def full(self) -> bool:
+        return len(self.at) >= self.most
+
+    def count(self, word: str) -> tuple[int, int]:
+        """Pieces and byte pieces of the word."""
+        children, at, step, reach = self.children, self.at, self.model.step, self.model.longest
+        node, path = 0, [at[0]]
+        for c in word:
+            if node >= 0:
+                below = children[node]
+                child = below.get(c) if below else None
+                if child is not None:
+                    node = child
+                    path.append(at[node])
+                    continue
+            value = step(path, c)
+            path.append(value)
+            if node >= 0 and len(at) < self.most:
+                if children[node] is None:
+                    children[node] = {c: len(at)}
                 else:
-                    out[child] = forward[depth][1:]
-        return out
+                    children[node][c] = len(at)
+                node = len(at)
+                children.append(None)
+                at.append(value)
+            else:
+                node = -1
+            if len(path) > 64 + 2 * reach:  # no piece reaches further back
+                del path[:-reach]
+        return path[-1][2:]
 
 
 @functools.lru_cache(maxsize=2)
@@ -98,63 +147,50 @@ def _model(path: str) -> Unigram:
     return Unigram.of_file(path)
 
 
-#: A word over so many characters goes through the same steps on its own, without trie nodes.
-LONG_WORD = 64
-
-
-def _alone(word: str, model: Unigram) -> tuple[int, int]:
-    forward = [(0.0, 0, 0)]
-    longest = max(model.longest, 1)
-    for n in range(1, len(word) + 1):
-        low = max(0, n - longest)
-        forward.append(model.step(word[low:n], forward[-(n - low) :]))
-        del forward[: -longest - 1]
-    return forward[-1][1:]
-
-
 class Counts:
-    def __init__(self, model: Unigram, keep: int = MAX_WORDS):
+    def __init__(self, model: Unigram, keep: int = MAX_WORDS, nodes: int = MAX_NODES):
         self.model, self.keep = model, keep
+        self.trie = Trie(model, nodes)
         self.young: dict[str, tuple[int, int]] = {}
         self.old: dict[str, tuple[int, int]] = {}
 
+    def _count(self, word: str) -> tuple[int, int]:
+        if self.trie.full:
+            self.trie = Trie(self.model, self.trie.most)
+        return self.trie.count(SPACE + word)
+
     def of(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """Words, tokens and byte pieces of each text."""
-        split = [Counter(t.split()) for t in texts]
-        new = set().union(*split).difference(self.young)
-        found = {w: self.old[w] for w in new if w in self.old}
-        new.difference_update(found)
-        found.update((w, _alone(SPACE + w, self.model)) for w in new if len(w) >= LONG_WORD)
-        found.update((w[1:], n) for w, n in Trie(SPACE + w for w in new if len(w) < LONG_WORD).counts(self.model).items())
-        self.young.update(found)
-        known = self.young
         out = []
-        for words in split:
+        for text in texts:
+            words = Counter(text.split())
+            known, old = self.young, self.old
             tokens = spelt = 0
             for w, k in words.items():
-                n, b = known[w]
-                tokens += k * n
-                spelt += k * b
+                found = known.get(w)
+                if found is None:
+                    found = known[w] = old.get(w) or self._count(w)
+                tokens += k * found[0]
+                spelt += k * found[1]
             out.append((words.total(), tokens, spelt))
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
+            if len(known) > self.keep:
+                self.old, self.young = known, {}
         return out
 
 
-def count_tokens(documents: DataFrame, tokenizer: str, group: int = 256) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str, group: int = 1024) -> DataFrame:
     """Words (parted by white space), tokens and byte pieces of each text.
 
     Null or blank text has none. Each input row gives a row, repeated or not; a null doc_id stays null.
-    An empty table gives no rows; further columns are ignored. Nothing is shuffled; a task holds a trie of
-    the words of ``group`` texts that it hasn't met lately, and at most twice ``MAX_WORDS`` counted words.
+    An empty table gives no rows; further columns are ignored. Nothing is shuffled; a task holds its word
+    trie (``MAX_NODES``), at most twice ``MAX_WORDS`` counted words and the words of one text.
     """
 
     def run(batches):
         counts = Counts(_model(tokenizer))
         for b in batches:
-            rows = []
             for i in range(0, b.num_rows, group):
-                rows += counts.of(b.column(1).slice(i, group).to_pylist())
-            yield batch(_FIELDS, [b.column(0), *([list(x) for x in zip(*rows, strict=True)] or [[], [], []])])
+                rows = counts.of(b.column(1).slice(i, group).to_pylist())
+                yield batch(_FIELDS, [b.column(0).slice(i, group), *([list(x) for x in zip(*rows, strict=True)])])
 
     return map_arrow(texts(documents), run, SCHEMA)
