@@ -83,34 +83,47 @@ def test_packing(spark, library):
     assert packing.pack(empty(spark), BPE).count() == 0
 
 
-def test_best_fit_equals_search():
+def test_plan_equals_piece_by_piece():
     rng = random.Random(2)
     for size in (7, 64, 1024):
-        lengths = sorted((rng.randint(1, size - 1) for _ in range(300)), reverse=True)
-        places, used = packing.best_fit(lengths, size)
-        room, want = [], []
-        for n in lengths:
-            fits = [(r, i) for i, r in enumerate(room) if r >= n]
-            if fits:
-                least = min(fits)[0]
-                want.append(least)
-                i = min(i for r, i in fits if r == least)
-                room[i] -= n
-            else:
-                want.append(None)
-                room.append(size - n)
-        assert used == len(room)
+        for most in (1, 4, 40):
+            counts = {n: rng.randint(1, most) for n in rng.sample(range(1, size), min(size - 1, 60))}
+            runs = packing.plan(counts, size)
+            used = defaultdict(int)
+            for n in sorted(counts, reverse=True):
+                for rank in range(counts[n]):
+                    rooms = [size - u for u in used.values() if size - u >= n]
+                    window, offset = packing.place(runs[n], n, rank)
+                    assert offset == used[window] and size - offset == (min(rooms) if rooms else size)  # the tightest, or a new one
+                    used[window] += n
+            assert sorted(used) == list(range(len(used))) and max(used.values()) <= size
+
+
+def test_padding_does_not_depend_on_the_splits(spark):
+    rng = random.Random(12)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["tree", "house", "sun", "rain"]) for _ in range(rng.randint(1, 1500)))) for i in range(1200)], "doc_id long, text string")
+    seen = set()
+    for splits in (1, 40, 211):
+        rows = packing.pack(docs.repartition(splits), BPE).collect()
         ends = defaultdict(int)
-        for n, (s, at), least in zip(lengths, places, want, strict=True):
-            assert at == ends[s] and (least is None) == (at == 0) and (least is None or size - at == least)
-            ends[s] += n
+        for r in rows:
+            ends[r.sequence_id] += r.length
+        assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        seen.add((len(ends), sum(1024 - n for n in ends.values())))
+    assert len(seen) == 1 and max(seen)[1] < 0.005 * 1024 * max(seen)[0]
 
 
 def brute_count(word, model):
-    best = {0: (0.0, 0, 0)}
+    """The same recursion over all substrings, without either trie."""
+    best = [(0.0, 0, 0)]
     for n in range(1, len(word) + 1):
-        best[n] = model.step(word[:n], [best[i] for i in range(n)])
-    return best[len(word)][1:]
+        found = [(best[k][0] + model.score[word[k:n]], -best[k][1] - 1, -k, best[k][2]) for k in range(max(0, n - model.longest), n) if word[k:n] in model.score]
+        if word[n - 1] not in model.score:
+            w = len(word[n - 1].encode())
+            found.append((best[n - 1][0] + w * model.rare, -best[n - 1][1] - w, -n, best[n - 1][2] + w))
+        total, pieces, _, spelt = max(found)
+        best.append((total, -pieces, spelt))
+    return best
 
 
 def every_segmentation(word, model):
@@ -132,23 +145,34 @@ def test_trie_counts():
     model = token_count.Unigram(["a", "b", "ab", "abc", "c", "▁", "▁a", "bca"])
     rng = random.Random(1)
     words = {"▁" + "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 8))) for _ in range(300)}
-    trie = token_count.Trie(words)
-    counts = trie.counts(model)
-    assert counts == {w: brute_count(w, model) for w in words}
-    assert all(token_count._alone(w, model) == counts[w] for w in words)
-    assert trie.nodes < sum(map(len, words))
-    for w in words:
-        forward = [(0.0, 0, 0)]
-        for n in range(1, len(w) + 1):
-            forward.append(model.step(w[:n], forward))
-        assert abs(forward[-1][0] - every_segmentation(w, model)[0]) < 1e-9
+    whole, small = token_count.Trie(model), token_count.Trie(model, 20)  # the small one fills up at once
+    for w in sorted(words):
+        best = brute_count(w, model)
+        assert whole.count(w) == small.count(w) == whole.count(w) == best[-1][1:]
+        assert abs(best[-1][0] - every_segmentation(w, model)[0]) < 1e-9
+    assert len(whole.at) == len({w[:n] for w in words for n in range(len(w) + 1)}) and len(small.at) == 20 and small.full  # one score for each prefix
+
+
+def test_moves_are_found_without_memory(monkeypatch):
+    monkeypatch.setattr(token_count, "MAX_MOVES", 0)
+    model = token_count.Unigram.of_file(PIECES)
+    rng = random.Random(8)
+    for w in ("▁" + "".join(rng.choice("eéatrns漢q") for _ in range(rng.randint(1, 40))) for _ in range(200)):
+        assert token_count.Trie(model).count(w) == brute_count(w, model)[-1][1:]
+
+
+def test_counts_do_not_depend_on_what_is_kept():
+    model = token_count.Unigram.of_file(PIECES)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(50)) for _ in range(40)] + ["q" * 30_000]
+    assert token_count.Counts(model).of(texts) == token_count.Counts(model, keep=7, nodes=30).of(texts)
 
 
 def test_count_tokens(spark):
     docs = awkward(spark)
     model = token_count.Unigram.of_file(PIECES)
-    got = sorted((r.doc_id or -1, r.n_words, r.n_tokens) for r in token_count.count_tokens(docs, PIECES, group=3).collect())
+    got = sorted((r.doc_id or -1, r.n_words, r.n_tokens, r.n_bytes_fallback) for r in token_count.count_tokens(docs, PIECES, group=3).collect())
     known = {}
-    count = lambda w: known.setdefault(w, token_count._alone("▁" + w, model)[0])
-    assert got == sorted((r.doc_id or -1, len((r.text or "").split()), sum(count(w) for w in (r.text or "").split())) for r in docs.collect())
+    count = lambda w: known.get(w) or known.setdefault(w, brute_count("▁" + w, model)[-1][1:])
+    assert got == sorted((r.doc_id or -1, len((r.text or "").split()), sum(count(w)[0] for w in (r.text or "").split()), sum(count(w)[1] for w in (r.text or "").split())) for r in docs.collect())
     assert token_count.count_tokens(empty(spark), PIECES).count() == 0
