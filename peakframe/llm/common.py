@@ -41,9 +41,11 @@ def texts(documents: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one under /tmp only where none is set, as in tests."""
+    """The shared folder that the session names; one under /tmp only where none is set and all runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     sc = spark.sparkContext
@@ -63,10 +65,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def labelled_sample(labels: DataFrame, column: str, rows: int, where: F.Column | None = None) -> DataFrame:
-    """At most about ``rows`` labelled documents (doc_id, y), spread evenly by a hash of doc_id: small enough to broadcast whatever the labels' size."""
+    """About ``rows`` labelled documents (doc_id, y) at most, chosen by a hash of doc_id: small enough to broadcast whatever the labels' size. Of several labels the largest counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if where is not None:
         known = known.where(where)
     share = min(1.0, rows / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return chosen.groupBy("doc_id").agg(F.max("y").alias("y")).limit(2 * rows)
+    return chosen.groupBy("doc_id").agg(F.max("y").alias("y"))

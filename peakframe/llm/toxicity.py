@@ -1,15 +1,16 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 A token stands for itself and its beginnings of 3 to 8 characters, hashed into ``BUCKETS`` buckets, so that
-inflected and unseen forms count as well. Each bucket's log-odds between toxic and other labelled documents
-are drawn to a Dirichlet prior in proportion to the corpus, and by some standard errors towards 0; a token
-has the most telling score of its forms, less a drift that makes ordinary text lose. One linear scan finds
-every maximal passage (Ruzzo and Tompa). Under ordinary text the best score of a passage follows an
-extreme-value law, whose decay comes from the score distribution and whose K from held-back documents; a
-logistic fit on those turns the best passage's score and its surprise under that law into a probability.
-
-The model is fitted on at most about ``SAMPLE`` labelled documents, exact copies once; every document is
-scored in one pass that shuffles nothing.
+inflected and unseen forms count as well. Each bucket's log-odds between toxic and other labelled documents, by token counts
+(of n in a document 1 + ln n, so that repeats tell ever less), are drawn to a Dirichlet prior in proportion to the corpus, and by some standard errors towards 0; a
+token has the most telling score of its forms, less a drift that makes ordinary text lose. One linear scan finds every maximal
+passage (Ruzzo and Tompa). Under ordinary text the best score of a passage follows an extreme-value law, whose decay comes from
+the score distribution and whose K from held-back documents. All significant passages of a document count together: the sum of
+the r best, each less the law's location, has a tail of its own (Karlin and Altschul), and the r that surprises most is taken. A
+logistic fit on the held-back documents turns that surprise, and the best score, into a probability.
+
+The model is fitted on at most about ``SAMPLE`` labelled documents, exact copies once, which are written to the shared folder
+when found; every document is scored in one pass that shuffles nothing. So documents are read twice.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, labelled_sample, map_arrow, texts
+from .common import batch, cut, labelled_sample, map_arrow, texts
 
-#: Labelled documents that the model is fitted on, at most; buckets, weight of the prior in tokens, drift, cap of a token's score.
-SAMPLE, BUCKETS, PRIOR, DRIFT, CAP = 20_000, 1 << 19, 2_000.0, 0.1, 6.0
-#: Standard errors that a log-odds must exceed 0 by: a form met in one document tells nothing. A document counts a token so often at most.
-SURE, REPEATS = 3.0, 3
+#: Labelled documents that the model is fitted on, about; buckets, weight of the prior in tokens, drift.
+SAMPLE, BUCKETS, PRIOR, DRIFT = 20_000, 1 << 19, 2_000.0, 0.1
+#: Standard errors that a log-odds must exceed 0 by: a form met in one document tells nothing.
+SURE = 3.0
 #: A passage counts as significant below this p-value. Distinct tokens whose scores a worker keeps. Lengths of the beginnings.
 SIGNIFICANT, MAX_TOKENS, BEGINNINGS = 0.05, 300_000, range(3, 9)
 _TOKEN = re.compile(r"\w+")
@@ -41,7 +42,7 @@ def forms(token: str, buckets: int = BUCKETS) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % buckets for x in raw]
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR, cap: float = CAP) -> np.ndarray:
+def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     """Score of each bucket: the difference of smoothed log-odds between the classes, drawn towards 0 by ``SURE`` standard errors."""
     n1, n0 = toxic.sum(), other.sum()
     if n1 == 0 or n0 == 0:
@@ -49,8 +50,7 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, prior: float = PRIOR, cap: fl
     alpha = prior * (toxic + other + 0.05) / (n1 + n0 + 0.05 * len(toxic))
     p1, p0 = (toxic + alpha) / (n1 + prior), (other + alpha) / (n0 + prior)
     d = np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))
-    d = np.sign(d) * np.maximum(0, np.abs(d) - SURE * np.sqrt(1 / (toxic + alpha) + 1 / (other + alpha)))
-    return np.clip(d, -cap, cap).astype(np.float32)
+    return (np.sign(d) * np.maximum(0, np.abs(d) - SURE * np.sqrt(1 / (toxic + alpha) + 1 / (other + alpha)))).astype(np.float32)
 
 
 def decay(scores: np.ndarray, weights: np.ndarray) -> float:
@@ -117,6 +117,20 @@ class Scorer:
         """-ln of the expected number of passages with this score among n tokens of ordinary text; below -3 it tells no more."""
         return max(-3.0, self.rate * best - self.log_k - math.log(max(1, n)))
 
+    def together(self, sums: list[float], n: int) -> float:
+        """-ln of the chance that ordinary text has passages with scores like the r best of these, for the r that makes it largest.
+
+        The sum x of r surprises has the tail exp(-x) x^(r-1) / (r! (r-1)!); trying several r costs ln 2 for each one more.
+        """
+        found, x = -3.0, 0.0
+        for r, s in enumerate(sorted(sums, reverse=True), 1):
+            more = self.surprise(s, n)
+            if r > 1 and more <= 0:
+                break
+            x += more
+            found = max(found, x if r == 1 else x - (r - 1) * (math.log(max(x, 1.0)) + math.log(2)) + math.lgamma(r + 1) + math.lgamma(r))
+        return found
+
     def significant(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
         """Every passage whose p-value, one less exp(-expected number), is small enough."""
         least = -math.log(-math.log1p(-SIGNIFICANT))
@@ -126,7 +140,10 @@ class Scorer:
 
     def features(self, scores: np.ndarray) -> tuple[float, float]:
         best = best_sum(scores)
-        return (self.surprise(best, len(scores)), best) if best > 0 else (-3.0, 0.0)
+        if best <= 0:
+            return (-3.0, 0.0)
+        alone = self.surprise(best, len(scores))  # without a surprise no other passage has one
+        return (self.together([s for *_, s in passages(scores)], len(scores)) if alone > 0 else alone, best)
 
     def probability(self, scores: np.ndarray) -> float:
         x, y = self.features(scores)
@@ -159,15 +176,19 @@ def _fold(column) -> F.Column:
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS) -> Scorer:
-    """Log-odds from the labelled rows of folds 1 to 3, calibration on fold 4; fold 0 (crc32 of doc_id modulo 5) is never read for its labels."""
+    """Log-odds from the labelled rows of folds 1 to 3, calibration on fold 4; fold 0 (crc32 of doc_id modulo 5) is never read for its labels.
+
+    Of several labels of a doc_id the largest counts, of several texts of a labelled doc_id the least, of documents with
+    one text the one with the least doc_id: what is learnt doesn't depend on the order of rows.
+    """
     chosen = labelled_sample(labels, "toxic", sample, _fold("doc_id") != 0)
-    rows = texts(documents).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", _fold("doc_id").cast("int").alias("fold"))
-    first = rows.groupBy(F.md5(F.col("text").cast("binary")).alias("copy")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").limit(2 * sample)
-    rows = rows.join(F.broadcast(first), "doc_id", "left_semi")
-    fields = [("bucket", pa.int64()), ("toxic", pa.int64()), ("other", pa.int64())]
+    rows = texts(documents).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = cut(rows.groupBy("text").agg(F.min(F.struct("doc_id", "y")).alias("first")).select("first.doc_id", "first.y", "text"))
+    rows = rows.withColumn("fold", _fold("doc_id"))
+    fields = [("bucket", pa.int64()), ("toxic", pa.float64()), ("other", pa.float64())]
 
     def count(batches):
-        table = np.zeros((2, buckets), np.int64)
+        table = np.zeros((2, buckets))
 
         def settle(words):
             for y in (0, 1):
@@ -179,32 +200,32 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, buckets:
         words = (Counter(), Counter())
         for b in batches:
             for text, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                words[int(y == 1)].update({t: min(n, REPEATS) for t, n in Counter(_TOKEN.findall(text.as_py().lower())).items()})
+                words[int(y == 1)].update({t: 1 + math.log(n) for t, n in Counter(_TOKEN.findall(text.as_py().lower())).items()})
             if len(words[0]) > MAX_TOKENS:
                 settle(words)
         settle(words)
         at = np.flatnonzero(table.any(axis=0))
         yield batch(fields, [at, table[1, at], table[0, at]])
 
-    counted = map_arrow(rows.where("fold < 4").select("text", "y"), count, "bucket long, toxic long, other long")
+    counted = map_arrow(rows.where("fold < 4").select("text", "y"), count, "bucket long, toxic double, other double")
     found = counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toArrow()  # at most one row a bucket
     table = np.zeros((2, buckets))
     table[0, found["bucket"].to_numpy()], table[1, found["bucket"].to_numpy()] = found["toxic"].to_numpy(), found["other"].to_numpy()
     scores = log_odds(table[0], table[1])
     scorer = Scorer(scores, DRIFT, decay(scores.astype(float) - DRIFT, table[1]))
-    held = [("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("best", pa.float64())]
+    held = [("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("sums", pa.list_(pa.float64()))]
 
     def measured(batches):
         known: dict[str, float] = {}
         for b in batches:
             s = [scorer.token_scores(t.as_py(), known) for t in b.column(2)]
-            yield batch(held, [b.column(0), b.column(1), [len(x) for x in s], [best_sum(x) for x in s]])
+            yield batch(held, [b.column(0), b.column(1), [len(x) for x in s], [sorted((v for *_, v in passages(x)), reverse=True) for x in s]])
 
     back = rows.where("fold = 4").select("doc_id", "y", "text")
-    seen = sorted(map(tuple, map_arrow(back, measured, "doc_id long, y int, n long, best double").limit(2 * sample).collect()))
-    plain = [scorer.rate * best - math.log(n) for _, y, n, best in seen if y != 1 and n > 0 and best > 0]
+    seen = sorted((d, y, n, sums) for d, y, n, sums in map_arrow(back, measured, "doc_id long, y int, n long, sums array<double>").collect())  # a fifth of the sample
+    plain = [scorer.rate * sums[0] - math.log(n) for _, y, n, sums in seen if y != 1 and n > 0 and sums]
     scorer.log_k = float(np.mean(plain) - 0.5772156649) if plain else 0.0  # the mean of the law is log K plus Euler's constant
-    x = [(scorer.surprise(best, n), best) if best > 0 else (-3.0, 0.0) for _, _, n, best in seen]
+    x = [(scorer.together(sums, n), sums[0]) if sums else (-3.0, 0.0) for _, _, n, sums in seen]
     scorer.weights = logistic(np.array(x).reshape(-1, 2), np.array([y == 1 for _, y, _, _ in seen], float))
     return scorer
 
