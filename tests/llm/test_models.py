@@ -36,10 +36,23 @@ def test_passages_equal_brute_force():
         assert abs(T.best_sum(np.array(s, float)) - max([0, *segments.values()])) < 1e-9
         got = T.passages(np.array(s, float))
         assert all(x[1] <= y[0] for x, y in itertools.pairwise(got)) and all(v > 0 for _, _, v in got)
-        if got:  # the best is among them, and each begins and ends well
-            assert abs(max(v for *_, v in got) - max(segments.values())) < 1e-9
-            for a, b, v in got:
-                assert all(sum(s[a:k]) > 0 for k in range(a + 1, b + 1)) and all(sum(s[k:b]) > 0 for k in range(a, b))
+        assert [(a, b) for a, b, _ in got] == maximal(s, 0, len(s)) and all(abs(v - segments[a, b]) < 1e-9 for a, b, v in got)
+
+
+def maximal(s, start, stop):
+    """By the definition: the best segment, the shortest and first of equal ones, then the same on either side of it."""
+    found = [(sum(s[a:b]), a - b, -a, b) for a in range(start, stop) for b in range(a + 1, stop + 1)]
+    if not found or max(found)[0] <= 0:
+        return []
+    _, width, a, b = max(found)
+    return [*maximal(s, start, -a), (-a, b), *maximal(s, b, stop)]
+
+
+def test_passages_count_together():
+    model = T.Scorer(np.zeros(8), rate=1.0)
+    alone, three = model.together([9.0], 100), model.together([9.0, 9.0, 9.0], 100)
+    assert abs(alone - (9 - np.log(100))) < 1e-12 and three > 2 * alone > model.together([9.0, 1.0], 100) > 0
+    assert model.together([], 100) == model.together([0.5], 10_000) == -3.0 and model.together([9.0] * 2000, 5000) > 100
 
 
 def test_extreme_value_decay():
