@@ -1,35 +1,37 @@
 """Similarity join of documents on the Jaccard index of their word n-grams, by a MinHash LSH forest.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case; a document is the set
-of its five-word shingles (one shingle of all its words if it has fewer). Documents with the same set are
-one class, and only classes are compared.
-
-Each of ``TREES`` trees orders the classes by a label of MinHash values; two classes meet in a node of the
-tree's prefix trie if their labels begin alike. A node is its prefix, so the tries are tables, and walking
-them is an equi-join on prefixes. A prefix of d values recalls a pair of similarity s with probability
-1 - (1 - s^d)^TREES: labels are matched at the longest prefix that reaches the target recall at the
-threshold, and matches are shortened by one more value in nodes that hold few classes.
-
-Classes that share nodes, directly or in chains, are compared exactly, all with all, in blocks: a group of
-them is split into parts of bounded size, and each pair of parts is a task's work. Tasks return sums and
-a spanning forest, never pairs, so large groups of near copies cost comparisons but not rows.
+of its five-word shingles (one shingle of all its words if it has fewer). Sets are held as 64-bit hashes, and documents
+whose sets have the same 128-bit fingerprint are one class; only classes are compared.
+
+Each of ``TREES`` trees orders the classes by a label of ``LONGEST`` MinHash values. Two classes that share a prefix of a label
+meet in that node of the tree's prefix trie; a node is its prefix, so a level of all tries is a table, and walking up is an
+equi-join. Matching begins with the longest prefixes and shortens them level by level. What meets is compared exactly, and
+from the similarities found follows how many pairs such prefixes miss: a pair of similarity s meets under prefixes of d values
+with probability 1 - (1 - s^d)^TREES, so each one found stands for the inverse of that. Once the measured recall reaches ``TARGET``
+the walk ends; at the latest it ends at the depth where pairs at the threshold itself are met so often.
+
+Each class has a home: the largest node in which it meets others at first, or a part of it, if it is large. Homes whose classes
+share a node are a block, and all of the block's classes that share one are compared with each other, by exact verification, in
+one task's work; a pair belongs to the block of its two homes, so it counts once however often it meets. Blocks that a shorter
+prefix makes larger are done again. Tasks return sums and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import batch, cut, map_arrow, texts
 
 WIDTH, THRESHOLD, TREES, LONGEST, TARGET = 5, 0.8, 24, 8, 0.999
-#: Nodes with so few classes are matched one value shorter. Shingles in a part of a block; a class counts as so many at least.
-SPARSE, PART, LEAST = 16, 200_000, 200
+#: Shingles in a part of a home; a class counts as so many at least. Ways in which a node's rows are dealt.
+PART, LEAST, SALTS = 200_000, 200, 4
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _SEED = np.random.default_rng(20240607)
@@ -96,12 +98,15 @@ def labels(s: np.ndarray, trees: int = TREES, length: int = LONGEST) -> np.ndarr
     return least.reshape(trees, length)
 
 
-def prefix_keys(label: np.ndarray, depth: int) -> np.ndarray:
-    """A key for each tree's prefix; the tree's number and the depth are part of it."""
-    key = np.arange(len(label), dtype=np.uint64) * np.uint64(64) + np.uint64(depth)
-    for k in range(depth):
+def prefix_keys(label: np.ndarray, shortest: int) -> list[list[int]]:
+    """Keys of each tree's prefixes, the tree's number being part of them: a list for each depth, from the whole label to the shortest prefix."""
+    key = np.arange(1, len(label) + 1, dtype=np.uint64)
+    out = []
+    for k in range(label.shape[1]):
         key = mix(key * np.uint64(_BASE) + label[:, k])
-    return key.view(np.int64)
+        if k + 1 >= shortest:
+            out.append(key.view(np.int64).tolist())
+    return out[::-1]
 
 
 def recall(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -109,7 +114,7 @@ def recall(similarity: float, depth: int, trees: int = TREES) -> float:
 
 
 def match_depth(threshold: float = THRESHOLD, trees: int = TREES, longest: int = LONGEST, target: float = TARGET) -> int:
-    """Shortened from the longest prefix until a pair at the threshold is recalled as often as asked."""
+    """The longest prefix that recalls a pair at the threshold as often as asked."""
     depth = longest
     while depth > 1 and recall(threshold, depth, trees) < target:
         depth -= 1
@@ -117,25 +122,20 @@ def match_depth(threshold: float = THRESHOLD, trees: int = TREES, longest: int =
 
 
 def sketch(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """doc_id, size of the shingle set, its fingerprint (two longs), prefix keys at the matching depth and one shorter."""
-    depth = match_depth(threshold)
-    fields = [("doc_id", pa.int64()), ("size", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("deep", pa.list_(pa.int64())), ("short", pa.list_(pa.int64()))]
+    """doc_id, size of the shingle set, its fingerprint (two longs), and prefix keys by depth, the longest prefixes first."""
+    shortest = match_depth(threshold)
+    fields = [("doc_id", pa.int64()), ("size", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("keys", pa.list_(pa.list_(pa.int64())))]
 
     def run(batches):
         for b in batches:
             rows = []
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 s = shingles(t.as_py(), width)
-                if len(s):
-                    label = labels(s, length=depth)
-                    rows.append((d, len(s), *fingerprint(s), prefix_keys(label, depth), prefix_keys(label, depth - 1)))
-                else:
-                    rows.append((d, 0, None, None, None, None))
+                rows.append((d, len(s), *fingerprint(s), prefix_keys(labels(s), shortest)) if len(s) else (d, 0, None, None, None))
             if rows:
                 yield batch(fields, list(zip(*rows, strict=True)))
 
-    with_labels = map_arrow(texts(documents), run, "doc_id long, size long, f1 long, f2 long, deep array<long>, short array<long>")
-    return with_labels
+    return map_arrow(texts(documents), run, "doc_id long, size long, f1 long, f2 long, keys array<array<long>>")
 
 
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -196,43 +196,102 @@ def forest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
         least = new
 
 
-def compare_in_blocks(classes: DataFrame, groups: DataFrame, payload: DataFrame, link: Callable[[list[tuple]], np.ndarray], part: int, columns: str) -> DataFrame:
-    """Compare all classes of each group with each other.
+def shared_nodes(classes: DataFrame, level: int) -> DataFrame:
+    """key, rep, and size and weight of the node, for each class and each node that it shares with others at that level (0: whole labels)."""
+    at = classes.select(F.explode(F.element_at("keys", level + 1)).alias("key"), "rep", "weight").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    nodes = at.groupBy("key").agg(F.count("*").alias("c"), F.sum("weight").alias("w")).where("c > 1")
+    nodes = nodes.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))  # a node of a third of all classes is several tasks' rows
+    return at.join(nodes, ["key", "salt"]).select("key", "rep", "c", "w")
 
-    classes: rep, n (rows), weight, and what identifies the payload; groups: node, component; payload: rep and the
-    columns that ``link`` takes. A group over ``part`` in weight is split into parts by a hash of rep, and each
-    unordered pair of parts is compared on its own. Returns rep, links (rows of other classes linked to it) and hub,
-    the smallest rep of its links' component within the block.
+
+def blocks(at: DataFrame, homes: DataFrame) -> DataFrame:
+    """a, b, rep, home: for each pair of homes a <= b that share a node, their classes that are in one."""
+    placed = at.select("key", "rep").join(homes, "rep")
+    inside = placed.select("key", "home").distinct()
+    pairs = inside.withColumnRenamed("home", "a").join(inside.withColumnRenamed("home", "b"), "key").where("a <= b")
+    sides = pairs.select("key", "a", "b", F.col("a").alias("home")).unionByName(pairs.where("a < b").select("key", "a", "b", F.col("b").alias("home")))
+    return placed.join(sides, ["key", "home"]).select("a", "b", "rep", "home").distinct()
+
+
+_RESULT = "a long, b long, rep long, links long, hub long, found double, stand_for array<double>"
+
+
+def compare(rows: DataFrame, classes: DataFrame, payload: DataFrame, threshold: float, width: int, depths: list[int]) -> DataFrame:
+    """Compare the classes of each block: within it if a = b, else those of the one home with those of the other.
+
+    Returns rep, links (rows of other classes linked to it) and hub, the smallest rep of its links' component within the block; a
+    block's first row tells the pairs found, and for each depth how many pairs they stand for.
     """
-    members = classes.join(groups, F.col("rep") == F.col("node")).select("rep", "n", "weight", "component", *columns.split())
-    parts = members.groupBy("component").agg(F.ceil(F.sum("weight") / part).alias("parts"))
-    placed = members.join(parts, "component").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    rows = placed.join(payload, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    rows = rows.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-    names = [c for c in payload.columns if c != "rep"]
-    rows = rows.select("component", "i", "j", "mine", "rep", "n", *columns.split(), *names).repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-    fields = [("rep", pa.int64()), ("links", pa.int64()), ("hub", pa.int64())]
+    full = rows.join(classes.select("rep", "n", "f1", "f2"), "rep").join(payload, "rep")
+    full = full.select("a", "b", "rep", "home", "n", "f1", "f2", "text").repartition("a", "b").sortWithinPartitions("a", "b", "rep")
+    fields = [("a", pa.int64()), ("b", pa.int64()), ("rep", pa.int64()), ("links", pa.int64()), ("hub", pa.int64()), ("found", pa.float64()), ("stand_for", pa.list_(pa.float64()))]
 
     def run(batches):
         out = []
-        for group in grouped(batches, 3):
-            i, j = group[0][1:3]
-            kept, linked = link(group)
-            if len(kept) > 1:
-                side = np.array([r[3] for r in kept])
-                if i != j:
-                    linked &= side[:, None] != side[None, :]
-                np.fill_diagonal(linked, False)
-                ids, n = np.array([r[4] for r in kept]), np.array([r[5] for r in kept])
-                sums, hubs, any_link = linked @ n, forest(linked, ids), linked.any(axis=1)
-                out += zip(ids[any_link].tolist(), sums[any_link].tolist(), hubs[any_link].tolist(), strict=True)
+        for group in grouped(batches, 2):
+            a, b = group[0][:2]
+            sets, kept, seen = [], [], set()
+            for row in group:
+                _, _, rep, home, n, f1, f2, text = row
+                s = shingles(text, width)
+                if (f1, f2) not in seen and len(s) and fingerprint(s) == (f1, f2):  # a doc_id may stand for several texts
+                    seen.add((f1, f2))
+                    sets.append(s)
+                    kept.append((rep, home, n))
+            if len(kept) < 2:
+                continue
+            sizes, common = np.array([len(s) for s in sets]), overlaps(sets)
+            linked = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
+            ids, home, n = (np.array(x) for x in zip(*kept, strict=True))
+            if a != b:
+                linked &= home[:, None] != home[None, :]
+            np.fill_diagonal(linked, False)
+            some = np.flatnonzero(linked.any(axis=1))
+            if len(some):
+                x, y = np.nonzero(np.triu(linked))
+                similarity = common[x, y] / (sizes[x] + sizes[y] - common[x, y])
+                told = (float(len(x)), [float((1 / recall(similarity, d)).sum()) for d in depths])
+                sums, hubs = linked @ n, forest(linked, ids)
+                for k in some.tolist():
+                    out.append((a, b, int(ids[k]), int(sums[k]), int(hubs[k]), *told))
+                    told = (None, None)
             if len(out) > 50_000:
                 yield batch(fields, list(zip(*out, strict=True)))
                 out = []
         if out:
             yield batch(fields, list(zip(*out, strict=True)))
 
-    return map_arrow(rows, run, "rep long, links long, hub long")
+    return map_arrow(full, run, _RESULT)
+
+
+def match(documents: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, target: float = TARGET) -> tuple[DataFrame, int, float]:
+    """Results of ``compare`` over the blocks, the depth at which the walk up the tries ended, and the recall measured there (1 without a pair)."""
+    shortest = match_depth(threshold)
+    depths = list(range(LONGEST, shortest - 1, -1))
+    known = classes.where("rep is not null")
+    live = cut(shared_nodes(known, len(depths) - 1).select("rep").distinct())  # what shares no shortest prefix shares no longer one
+    known = cut(known.join(live, "rep"))
+    payload = cut(texts(documents).where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").join(live, "rep"))
+    results = homes = done = None
+    for level, depth in enumerate(depths):
+        at = cut(shared_nodes(known, level))
+        new = at if homes is None else at.join(homes.select("rep"), "rep", "left_anti")
+        new = new.groupBy("rep").agg(F.max(F.struct("c", "key", "w")).alias("node"))
+        part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("node.w") / PART))
+        new = new.select("rep", F.xxhash64("node.key", part).alias("home"))
+        homes = cut(new if homes is None else homes.unionByName(new))
+        rows = cut(blocks(at, homes))
+        sizes = rows.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1")
+        fresh = sizes if done is None else sizes.join(done, ["a", "b", "c"], "left_anti")
+        fresh = fresh.select("a", "b")
+        compared = cut(compare(rows.join(fresh, ["a", "b"]), known, payload, threshold, width, depths))
+        results = compared if results is None else results.join(fresh, ["a", "b"], "left_anti").unionByName(compared)
+        done = sizes
+        found, stand_for = results.agg(F.sum("found"), F.sum(F.element_at("stand_for", level + 1))).first()
+        measured = found / stand_for if found else 1.0
+        if found and measured >= target:
+            break
+    return results, depth, measured
 
 
 def join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
@@ -244,35 +303,9 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH)
     compared only as copies of a text that has one. An empty table gives no rows; further columns are ignored.
     """
     drawn = cut(sketch(documents, threshold, width))
-    classes = drawn.where("size > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("deep").alias("deep"), F.first("short").alias("short"))
-    classes = cut(classes.withColumn("weight", F.greatest("size", F.lit(LEAST))))
-    known = classes.where("rep is not null")
-
-    def stars(column: str, most: int | None) -> DataFrame:
-        at = known.select(F.explode(column).alias("key"), "rep")
-        hubs = at.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1" + (f" and c <= {most}" if most else ""))
-        return at.join(hubs, "key").where("rep <> hub").select("rep", "hub")
-
-    candidates = stars("deep", None).unionByName(stars("short", SPARSE))
-    groups = connected_components(candidates, "rep", "hub")
-    payload = texts(documents).where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
-
-    def link(group: list[tuple]) -> tuple[list[tuple], np.ndarray]:
-        sets, kept, seen = [], [], set()
-        for row in group:
-            f1, f2, text = row[6:]
-            s = shingles(text, width)
-            if (f1, f2) not in seen and len(s) and fingerprint(s) == (f1, f2):  # a doc_id may stand for several texts
-                seen.add((f1, f2))
-                sets.append(s)
-                kept.append(row)
-        if len(kept) < 2:
-            return kept, np.zeros((len(kept), len(kept)), bool)
-        sizes = np.array([len(s) for s in sets])
-        common = overlaps(sets)
-        return kept, common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
-
-    compared = cut(compare_in_blocks(known, groups, payload, link, PART, "f1 f2"))
+    classes = drawn.where("size > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    classes = cut(classes.withColumn("weight", F.greatest("size", F.lit(LEAST))).drop("size"))
+    compared, _, _ = match(documents, classes, threshold, width)
     links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
     found = connected_components(compared, "rep", "hub")
     by_class = classes.select("f1", "f2", "rep", "n").join(links, "rep", "left").join(found, F.col("rep") == F.col("node"), "left")
@@ -283,9 +316,10 @@ def join(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH)
 
 
 def keep_one(documents: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """One row of each class, all its columns: that with the smallest doc_id; of rows that repeat doc_id and text, one. Rows without doc_id stay, equal texts once."""
+    """One row of each class, all its columns: that with the smallest doc_id; of rows that repeat doc_id and text, the one whose further columns come first. Rows without doc_id stay, equal texts once."""
     gone = join(documents, threshold, width).where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = documents.join(gone, "doc_id", "left_anti").select(*documents.columns, F.sha2(F.coalesce("text", F.lit("")), 256).alias("__digest"))
-    # both sides of the window's key are already together by doc_id
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__digest").orderBy("__digest"))
-    return left.withColumn("__nth", nth).where("__nth = 1").select(documents.columns)
+    left = documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    further = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    whole = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    copies = left.groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256)).agg(F.min_by(whole, F.to_json(F.struct(*further))).alias("row"))
+    return copies.select("row.*")

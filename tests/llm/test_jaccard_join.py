@@ -60,6 +60,27 @@ def test_split_groups(spark, monkeypatch):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in J.join(docs).collect()) == sorted(brute([tuple(r) for r in docs.collect()]))
 
 
+def test_prefixes_are_shortened_until_the_recall(spark):
+    close = [" ".join(f"w{i}x{k}" for i in range(300)) + f" end{j}" for k in range(30) for j in range(3)]  # similarity about 0.98
+    far = sorted(set(near_copies(20)))
+    for texts, depth in ((close, J.LONGEST), (far, J.match_depth())):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        classes = J.sketch(docs).selectExpr("f1", "f2", "doc_id rep", "1L n", "size weight", "keys")
+        found, ended, measured = J.match(docs, classes, target=J.TARGET if depth == J.LONGEST else 0.999999)
+        assert ended == depth and (measured >= J.TARGET or ended == J.match_depth())
+        assert found.agg(F.sum("links")).first()[0] == sum(n for *_, n in brute(list(enumerate(texts))))
+
+
+def test_chains_do_not_compare_all_with_all(spark):
+    words = [f"w{i}" for i in range(2300)]
+    docs = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 300])) for i in range(200)], "doc_id long, text string")  # each like its next ones
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in J.join(docs).collect()) == sorted(brute([tuple(r) for r in docs.collect()]))
+    classes = J.sketch(docs).selectExpr("f1", "f2", "doc_id rep", "1L n", "size weight", "keys")
+    at = J.shared_nodes(classes, 0)
+    homes = at.groupBy("rep").agg(F.max(F.struct("c", "key")).alias("node")).select("rep", F.col("node.key").alias("home"))
+    assert max(r["count"] for r in J.blocks(at, homes).groupBy("a", "b").count().collect()) < 60
+
+
 def test_awkward(spark):
     docs = awkward(spark)
     rows = J.join(docs).collect()
