@@ -1,12 +1,13 @@
 """Find secrets by patterns and by a battery of randomness tests, with DataFrame functions alone.
 
-Three patterns make the base. Beyond them, each long run of code-like characters is a candidate: its
+Three patterns make the base. Beyond them, each run of 16 or more code-like characters is a candidate: its
 encoding is inferred (digits, hex, base 32, base 36, base 64), and three statistics tell it from text in
 that encoding: chi-squared of the characters against a uniform alphabet, the number of runs of
-digits and others, and the correlation of neighbours. Their sum in units of standard deviations gives a
-p-value under the hypothesis of text, and the candidates of the whole corpus go through a
-Benjamini-Hochberg step within classes of length, as short strings tell less. That step needs counts by
-class and level only, a few hundred rows whatever the input.
+digits, capitals, small letters and others, and the correlation of neighbours. Each is in units of its standard
+deviation under text, and their sum over the root of 3 gives a p-value under that hypothesis. The candidates of the whole corpus go
+through a Benjamini-Hochberg step within classes of length, as short strings tell less. That step needs counts by
+class and level only, a few hundred rows whatever the input. Shorter runs are left to the patterns: under 16 characters
+the tests can't tell a random string from a rare word. Nor can they tell random digits from ordinary numbers, so digits alone are no finding.
 """
 
 from __future__ import annotations
@@ -22,12 +23,15 @@ KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),  # the longest runs: those of [0-9a-f]+ that are long enough
 ]
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
+_EDGE = "|".join(f"(?<=[{c}])(?=[^{c}])|(?<=[^{c}])(?=[{c}])" for c in ("0-9", "a-z", "A-Z"))
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_="
-#: False discoveries allowed among the candidates reported; levels of -log10 p are an eighth apart, up to 32.
-FALSE_DISCOVERY, LEVELS = 0.01, 256
+#: False discoveries allowed among the candidates reported; levels of -log10 p are an eighth apart; the last takes all from 31.9 on, far beyond any threshold.
+FALSE_DISCOVERY, LEVELS = 0.001, 256
 #: Under text: chance that two characters are equal, and that a character changes class.
-TEXT_COLLISION, TEXT_CHANGE = 0.066, 0.12
+TEXT_COLLISION, TEXT_CHANGE = 0.066, 0.2
+#: Mean and standard deviation of the absolute value of a standard normal variable.
+HALF_MEAN, HALF_SD = 0.7979, 0.6028
 
 
 def _sql(text: str) -> str:
@@ -55,14 +59,14 @@ def _level(c: str) -> str:
     k = f"""case when {c} rlike '^[0-9]+$' then 10 when {c} rlike '^([0-9a-f]+|[0-9A-F]+)$' then 16 when {c} rlike '^[A-Z2-7]+=*$' then 32
         when {c} rlike '^([0-9a-z]+|[0-9A-Z]+)$' then 36 else 64 end"""
     squares = f"aggregate(transform(array_distinct({letters}), y -> power(length({c}) - length(replace({c}, y, '')), 2)), 0.0D, (a, y) -> a + y)"
-    runs = f"1 + size(split({c}, '(?<=[0-9])(?=[^0-9])|(?<=[^0-9])(?=[0-9])', -1)) - 1"
+    runs = f"size(split({c}, '{_EDGE}', -1))"
     values = f"transform({letters}, y -> cast(instr('{ALPHABET}', y) as double))"
     return f"""aggregate(array(named_struct('n', cast(length({c}) as double), 'k', cast({k} as double), 'q', {squares}, 'r', cast({runs} as double), 'v', {values})), 0,
         (z, s) -> case when s.k = 10 then 0 else
             aggregate(array(named_struct(
                 'u', (s.k + s.k * (s.n - 1) * {TEXT_COLLISION} - s.n - (s.k * s.q / s.n - s.n)) / sqrt(2 * (s.k - 1)),
                 'r', (s.r - 1 - (s.n - 1) * {TEXT_CHANGE}) / sqrt((s.n - 1) * {TEXT_CHANGE} * {1 - TEXT_CHANGE}),
-                'c', 2 - abs({_correlation('s.v')} + 1 / s.n) * sqrt(s.n))), 0,
+                'c', ({HALF_MEAN} - abs({_correlation('s.v')} + 1 / s.n) * sqrt(s.n)) / {HALF_SD})), 0,
                 (y, t) -> cast({_eighths('(t.u + t.r + t.c) / sqrt(3D)')} as int)) end)"""
 
 
@@ -79,9 +83,9 @@ def _eighths(z: str) -> str:
     return f"""aggregate(array({z}), 0.0D, (o, z) -> if(z < 1, 0.0D, least({LEVELS - 1}.0D, floor(8 * (z * z / 2 + ln(sqrt(2 * pi()) * (z + 1 / (z + 2 / (z + 3 / (z + 4 / z)))))) / ln(10D)))))"""
 
 
-#: Classes of length: under 24, 32, 40, 64 characters, and beyond.
+#: Classes of length: under 20, 24, 32, 40, 64 characters, and beyond.
 def _stratum(c: str) -> str:
-    return f"case when length({c}) < 24 then 0 when length({c}) < 32 then 1 when length({c}) < 40 then 2 when length({c}) < 64 then 3 else 4 end"
+    return f"case when length({c}) < 20 then 0 when length({c}) < 24 then 1 when length({c}) < 32 then 2 when length({c}) < 40 then 3 when length({c}) < 64 then 4 else 5 end"
 
 
 def thresholds(documents: DataFrame, false_discovery: float = FALSE_DISCOVERY) -> DataFrame:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from peakframe.llm import secret_scan as S
@@ -28,8 +30,6 @@ def test_base_equals_brute_force(spark):
 
 
 def test_random_strings_are_told_from_words(spark):
-    import random
-
     rng = random.Random(3)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     secrets = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(20)]
@@ -39,6 +39,48 @@ def test_random_strings_are_told_from_words(spark):
     assert sum(got[i] for i in range(20)) >= 18 and sum(v for k, v in got.items() if k >= 100) == 0
 
 
+def level(c):
+    """The three tests and the p-value's level in plain Python."""
+    n, alphabet = len(c), S.ALPHABET
+    k = next(k for p, k in ((r"[0-9]+", 10), (r"[0-9a-f]+|[0-9A-F]+", 16), (r"[A-Z2-7]+=*", 32), (r"[0-9a-z]+|[0-9A-Z]+", 36), (r".*", 64)) if re.fullmatch(p, c))
+    if k == 10:
+        return 0
+    kind = [0 if x.isdigit() else 1 if x.islower() else 2 if x.isupper() else 3 for x in c]
+    runs = 1 + sum(x != y for x, y in zip(kind, kind[1:]))
+    v = [alphabet.index(x) + 1 for x in c]
+    mean = sum(v) / n
+    squares = sum((x - mean) ** 2 for x in v)
+    r = sum((x - mean) * (y - mean) for x, y in zip(v, v[1:])) / squares if squares else 0
+    u = (k + k * (n - 1) * S.TEXT_COLLISION - n - (k * sum(c.count(x) ** 2 for x in set(c)) / n - n)) / math.sqrt(2 * (k - 1))
+    t = (runs - 1 - (n - 1) * S.TEXT_CHANGE) / math.sqrt((n - 1) * S.TEXT_CHANGE * (1 - S.TEXT_CHANGE))
+    z = (u + t + (S.HALF_MEAN - abs(r + 1 / n) * math.sqrt(n)) / S.HALF_SD) / math.sqrt(3)
+    if z < 1:
+        return 0
+    return min(S.LEVELS - 1, math.floor(8 * (z * z / 2 + math.log(math.sqrt(2 * math.pi) * (z + 1 / (z + 2 / (z + 3 / (z + 4 / z)))))) / math.log(10)))
+
+
+def test_random_spans_equal_brute_force(spark):
+    """The method's own spans: the tests, then Benjamini-Hochberg by class of length, then the base's precedence."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rng = random.Random(4)
+    made = [(10**6 + i, "see " + "".join(rng.choice(S.ALPHABET[:62]) for _ in range(rng.choice([16, 18, 22, 30, 50, 90])))) for i in range(40)] + [(2 * 10**6 + i, w) for i, w in enumerate(["Donaudampfschifffahrtsgesellschaft", "getElementsByClassName", "this-is-a-long-slug-of-words", "2024-01-01T00:00:00", "path/to/some/folder/name"])]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    found = [(r.doc_id, m.start(), m.end(), len(m[0]), level(m[0])) for r in docs.collect() for m in re.finditer(S.CANDIDATE, r.text or "")]
+    stratum = lambda n: sum(n >= x for x in (20, 24, 32, 40, 64))
+    least = {}
+    for s in range(6):
+        own = [f[4] for f in found if stratum(f[3]) == s]
+        passed = [x for x in set(own) if x > 0 and 10 ** (-x / 8) <= sum(y >= x for y in own) / len(own) * S.FALSE_DISCOVERY]
+        least[s] = min(passed, default=S.LEVELS)
+    want = {}
+    for r in docs.collect():
+        base = [(m.start(), m.end()) for name, p, g, n in S.KINDS for m in re.finditer(p, r.text or "") if len(m[g]) >= n]
+        own = [(a, b) for d, a, b, n, x in found if d == r.doc_id and x >= least[stratum(n)] and not any(s <= a and b <= e for s, e in base)]
+        want[r.doc_id] = ",".join(f"random:{a}:{b}" for a, b in own)
+    got = {r.doc_id: ",".join(x for x in r.spans.split(",") if x.startswith("random")) for r in S.scan(docs).collect()}
+    assert got == want and sum(bool(v) for k, v in got.items() if 10**6 <= k < 2 * 10**6) >= 25 and not any(v for k, v in got.items() if k >= 2 * 10**6)
+
+
 def test_redact(spark):
     docs = awkward(spark, TEXTS)
     out = S.redact(docs)
