@@ -129,7 +129,8 @@ def ms2_text(spectra: DataFrame) -> DataFrame:
 
 
 def dta_text(spectra: DataFrame) -> DataFrame:
-    return spectra.select(F.concat(F.concat_ws(" ", F.col("parent_mass").cast("string"), F.coalesce("parent_charge", F.lit(0)).cast("string")), F.lit("\n"), _peak_lines()).alias("value"))
+    """scan, value: the text of each spectrum's file."""
+    return spectra.select("scan", F.concat(F.concat_ws(" ", F.col("parent_mass").cast("string"), F.coalesce("parent_charge", F.lit(0)).cast("string")), F.lit("\n"), _peak_lines()).alias("value"))
 
 
 WRITERS: dict[str, Callable[[DataFrame], DataFrame]] = {"mgf": mgf_text, "pkl": pkl_text, "ms2": ms2_text}
@@ -140,7 +141,7 @@ def save(spectra: DataFrame, path: str, kind: str) -> None:
     if kind == "parquet":
         spectra.write.mode("overwrite").parquet(path)
     elif kind == "dta":
-        dta_text(spectra.withColumn("__scan", F.col("scan"))).withColumn("scan", F.monotonically_increasing_id()).write.mode("overwrite").partitionBy("scan").text(path)
+        dta_text(spectra).repartition("scan").write.mode("overwrite").partitionBy("scan").text(path)
     elif kind in WRITERS:
         WRITERS[kind](spectra).write.mode("overwrite").text(path)
     else:
