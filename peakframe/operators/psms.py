@@ -180,6 +180,12 @@ def filter_by_mods(annotations: DataFrame, masses: list[float], most: int, tol:
     return annotations.where((F.size(mods) <= most) & allowed)
 
 
+def explode_matches(spectra: DataFrame, column: str = "psms") -> DataFrame:
+    """A row for each match in the spectra's lists; a spectrum without one has no row."""
+    keys = [c for c in spectra.columns if c != column]
+    return spectra.select(*keys, F.explode(column).alias("__m")).select(*keys, "__m.*")
+
+
 def merge_results(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

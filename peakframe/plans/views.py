@@ -69,3 +69,7 @@ SQL = {
 
 def with_views(*names: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in names)
+
+
+#: The pairs as a further view behind others.
+SQL_PAIRS = f"pairs AS ({SQL['pairs']})"
