@@ -10,18 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Far above what any graph takes (the rounds grow with the logarithm of the longest path).
-MAX_ROUNDS = 60
+#: Far above what any graph takes (the rounds grow with the logarithm of the longest path). Ways in which a node's edges are dealt.
+MAX_ROUNDS, SALTS = 60, 4
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder that the session names (under /tmp where it names none)."""
+    """A copy in the shared folder that the session names (under /tmp where it names none and all runs on one machine)."""
     spark: SparkSession = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(where or "/tmp/checkpoints")
     return df.checkpoint()
 
 
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the m of u; the centre of a large star is several tasks' rows."""
+    salted = least.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(salted, ["u", "salt"]).drop("salt")
+
+
 def connected_components(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
     """(node, component) for every node of an edge that isn't a loop; the component is its smallest node. Null ends are ignored."""
     e = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col("u") != F.col("v"))).distinct()
@@ -30,13 +39,15 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v") ->
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components aren't settled after {MAX_ROUNDS} rounds")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

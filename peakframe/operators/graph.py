@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .components import connected_components, cut_lineage
 
 
+def strong_edges(edges: DataFrame, least: float) -> DataFrame:
+    """The edges that make the graph: those with score1 above ``least``."""
+    return edges.where(F.col("score1") > least)
+
+
 def component_sizes(edges: DataFrame) -> DataFrame:
     """component, nodes."""
     return connected_components(edges, "spec1", "spec2").groupBy("component").agg(F.count("*").alias("nodes"))
@@ -45,6 +50,8 @@ def cap_component_size(edges: DataFrame, most: int, step: float = 0.1, rounds: i
         bar = inside.where("over").groupBy("component").agg((F.min("score1") + step).alias("bar"))
         kept = inside.join(bar, "component", "left").where(F.col("bar").isNull() | (F.col("score1") >= F.col("bar")))
         edges = cut_lineage(kept.select(edges.columns))
+    else:
+        raise RuntimeError(f"components are still over {most} nodes after {rounds} rounds; a step above 0 ends sooner")
     return edges
 
 
