@@ -145,35 +145,37 @@ def kmers(a: Column | str, k: int) -> Column:
     return F.filter(F.transform(at, lambda i: F.struct(i.alias("start"), F.substring(a, i + 1, F.lit(k)).alias("kmer"))), lambda x: F.length(x.kmer) == k)
 
 
+def _running(m: Column) -> Column:
+    return F.aggregate(m, F.array().cast("array<double>"), lambda sums, x: F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)) + x)))
+
+
 def prefix_masses(a: Column | str) -> Column:
     """Running mass after each residue."""
-    m = residue_masses(a)
-    return F.transform(m, lambda v, i: _total(F.slice(m, F.lit(1), i + 1)))
+    return _running(residue_masses(a))
 
 
 def suffix_masses(a: Column | str) -> Column:
-    m = F.reverse(residue_masses(a))
-    return F.transform(m, lambda v, i: _total(F.slice(m, F.lit(1), i + 1)))
+    return _running(F.reverse(residue_masses(a)))
 
 
 def theoretical_ions(a: Column | str) -> Column:
     """(ion, position, mz) of the singly charged b and y ions."""
-    b = F.transform(prefix_masses(a), lambda m, i: F.struct(F.lit("b").alias("ion"), (i + 1).alias("position"), (m + HYDROGEN).alias("mz")))
-    y = F.transform(suffix_masses(a), lambda m, i: F.struct(F.lit("y").alias("ion"), (i + 1).alias("position"), (m + WATER + HYDROGEN).alias("mz")))
-    n = F.size(residue_masses(a))
-    return F.filter(F.concat(b, y), lambda x: x.position < n)
+    but_last = lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0)))
+    b = F.transform(but_last(prefix_masses(a)), lambda m, i: F.struct(F.lit("b").alias("ion"), (i + 1).alias("position"), (m + HYDROGEN).alias("mz")))
+    y = F.transform(but_last(suffix_masses(a)), lambda m, i: F.struct(F.lit("y").alias("ion"), (i + 1).alias("position"), (m + WATER + HYDROGEN).alias("mz")))
+    return F.concat(b, y)
 
 
 def decoy_peptide(a: Column | str, charge: Column | str) -> Column:
-    """A shuffle seeded by peptide and charge; R, K and P keep their places."""
+    """A shuffle by digests of peptide, charge and place; R, K and P keep their places."""
     a, z = _c(a), _c(charge)
     letters = F.filter(F.split(a, ""), lambda r: r != "")
-    marked = F.transform(letters, lambda r, i: F.struct(F.xxhash64(a, z, i).alias("key"), i.alias("at"), r.alias("r")))
+    marked = F.transform(letters, lambda r, i: F.struct(F.md5(F.concat_ws(":", a, z.cast("string"), i.cast("string")).cast("binary")).alias("key"), i.alias("at"), r.alias("r")))
     loose = F.filter(marked, lambda x: ~x.r.isin("R", "K", "P"))
-    places = F.transform(loose, lambda x: x.at)
-    mixed = F.array_sort(loose)
-    put = F.transform(letters, lambda r, i: F.when(r.isin("R", "K", "P"), r).otherwise(F.try_element_at(mixed, F.array_position(places, i).cast("int")).r))
-    return F.array_join(put, "")
+    # bound once: a lambda would compute them anew for each residue
+    bound = F.array(F.struct(letters.alias("letters"), F.transform(loose, lambda x: x.at).alias("places"), F.array_sort(loose).alias("mixed")))
+    put = lambda s: F.transform(s.letters, lambda r, i: F.when(r.isin("R", "K", "P"), r).otherwise(F.try_element_at(s.mixed, F.array_position(s.places, i).cast("int")).r))
+    return F.array_join(F.transform(bound, put)[0], "")
 
 
 def fold_residues(a: Column | str) -> Column:

@@ -30,8 +30,8 @@ def normalize_l2(peaks: DataFrame, norm: float = 1.0) -> DataFrame:
 
 
 def transform_l2(peaks: DataFrame, how: str = "sqrt") -> DataFrame:
-    """Square root or logarithm of the intensities, then unit length."""
-    f = {"sqrt": F.sqrt, "log": F.ln, "none": lambda c: c}[how]
+    """Square root, or logarithm of one more than the intensities (so that 0 stays 0), then unit length."""
+    f = {"sqrt": F.sqrt, "log": F.log1p, "none": lambda c: c}[how]
     return normalize_l2(peaks.withColumn("intensity", f(F.col("intensity"))))
 
 
@@ -235,15 +235,23 @@ def isotope_combine(ions: DataFrame) -> DataFrame:
 
 
 def envelope(peaks: DataFrame, precursors: DataFrame, isotopes: int, tol: float) -> DataFrame:
-    """Summed intensity at each isotope's mass (precursors: spec_idx, mono, charge), a row for each isotope."""
+    """Summed intensity at each isotope's mass (precursors: spec_idx, mono, charge), a row for each precursor and isotope."""
     at = precursors.select(KEY, "mono", "charge", F.explode(F.sequence(F.lit(0), F.lit(isotopes - 1))).alias("isotope")).withColumn("target", F.col("mono") + F.col("isotope") * HYDROGEN / F.col("charge"))
     hit = band_join(at, peaks.select(KEY, "mz", "intensity"), "target", "mz", tol, [KEY], how="left")
-    return hit.groupBy(KEY, "isotope").agg(F.coalesce(F.sum("intensity"), F.lit(0.0)).alias("intensity"))
+    return hit.groupBy(KEY, "mono", "charge", "isotope").agg(F.coalesce(F.sum("intensity"), F.lit(0.0)).alias("intensity"))
+
+
+#: Ion types that a scoring model may have.
+MOST_IONS = 1_000
 
 
 def peak_scores(peaks: DataFrame, candidates: DataFrame, ions: DataFrame, tol: float, noise: float) -> DataFrame:
-    """For each (spec_idx, mass): sum over ion types of log(p / noise) where the ion is seen, else log((1 - p) / (1 - noise)). ions: name, mass_offset, prob - a few rows."""
-    expected = candidates.join(F.broadcast(ions)).withColumn("ion_mz", F.col("mass") + F.col("mass_offset"))
+    """For each (spec_idx, mass): sum over ion types of log(p / noise) where the ion is seen, else log((1 - p) / (1 - noise)). ions: name, mass_offset, prob - a model of at most ``MOST_IONS`` rows, read when the plan is built."""
+    model = ions.select("name", "mass_offset", "prob").limit(MOST_IONS + 1).collect()
+    if len(model) > MOST_IONS:
+        raise ValueError(f"an ion model has at most {MOST_IONS} ions")
+    each = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(float(r.mass_offset)).alias("mass_offset"), F.lit(float(r.prob)).alias("prob")) for r in model]) if model else F.array().cast("array<struct<name:string,mass_offset:double,prob:double>>")
+    expected = candidates.withColumn("__ion", F.explode(each)).select(*candidates.columns, "__ion.*").withColumn("ion_mz", F.col("mass") + F.col("mass_offset"))
     p = peaks.select(KEY, F.col("mz").alias("seen"))
     seen = band_join(expected, p, "ion_mz", "seen", tol, [KEY], how="left").groupBy(KEY, "mass", "name", "prob").agg((F.count("seen") > 0).alias("seen"))
     term = F.when(F.col("seen"), F.ln(F.col("prob") / noise)).otherwise(F.ln((1 - F.col("prob")) / (1 - noise)))

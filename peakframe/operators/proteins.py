@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import peptides as P
@@ -13,10 +13,11 @@ def reversed_decoys(proteins: DataFrame, prefix: str = "XXX") -> DataFrame:
 
 
 def shuffled_decoys(proteins: DataFrame, prefix: str = "XXX") -> DataFrame:
-    """Each sequence's letters in an order given by a hash of the sequence and the place."""
+    """Each sequence's letters in an order given by a digest of the sequence and the place."""
     letters = F.filter(F.split("seq", ""), lambda r: r != "")
-    mixed = F.array_sort(F.transform(letters, lambda r, i: F.struct(F.xxhash64("seq", i).alias("k"), r.alias("r"))))
-    return proteins.unionByName(proteins.withColumns({"id": F.concat(F.lit(prefix), F.col("id")), "seq": F.array_join(F.transform(mixed, lambda x: x.r), "")}))
+    mixed = F.array_sort(F.transform(letters, lambda r, i: F.struct(F.md5(F.concat_ws(":", "__d", i.cast("string")).cast("binary")).alias("k"), r.alias("r"))))
+    drawn = proteins.withColumn("__d", F.md5(F.col("seq").cast("binary")))
+    return proteins.unionByName(drawn.withColumns({"id": F.concat(F.lit(prefix), F.col("id")), "seq": F.array_join(F.transform(mixed, lambda x: x.r), "")}).drop("__d"))
 
 
 def kmer_index(proteins: DataFrame, k: int, stretch: int = 400) -> DataFrame:
@@ -33,8 +34,9 @@ def find_tags(proteins: DataFrame, tags: DataFrame, k: int, tol: float, least_fl
     """
     masses = proteins.select("prot_idx", F.col("seq"))
     hit = kmer_index(proteins, k).join(tags, F.col("kmer") == F.col("tag")).join(masses, "prot_idx")
-    left = P.suffix_masses(F.substring("seq", F.greatest(F.col("start") - 60, F.lit(0)) + 1, F.least("start", F.lit(60))))
-    right = P.prefix_masses(F.substring("seq", F.col("start") + k + 1, F.lit(60)))
+    reach = lambda mass: F.ceil((F.abs(F.coalesce(F.col(mass), F.lit(0.0))) + tol + 1e-4) / min(P.RESIDUE_MASS.values())).cast("int")  # noqa: E731  # no more residues weigh so much
+    left = P.suffix_masses(F.substring("seq", F.greatest(F.col("start") - reach("prefix_mass"), F.lit(0)) + 1, F.least(F.col("start"), reach("prefix_mass"))))
+    right = P.prefix_masses(F.substring("seq", F.col("start") + k + 1, reach("suffix_mass")))
 
     def matched(sums, mass):
         near = F.filter(F.transform(sums, lambda m, i: F.when(F.abs(m - F.col(mass)) <= tol + 1e-4, i + 1)), lambda i: i.isNotNull())
@@ -52,16 +54,16 @@ def proteins_with(proteins: DataFrame, peptides: DataFrame, k: int = 5) -> DataF
 
 
 def occurrences(proteins: DataFrame, peptides: DataFrame, k: int = 5) -> DataFrame:
-    """peptide, prot_idx, start: each place, overlapping ones too. Peptides shorter than k are found by their own length's k-mers."""
-    out = None
-    for width in sorted(r[0] for r in peptides.select(F.least(F.length("peptide"), F.lit(k)).alias("w")).where("w > 0").distinct().collect()):  # at most k values
-        part = peptides.where(F.least(F.length("peptide"), F.lit(k)) == width).select("peptide", F.substring("peptide", 1, width).alias("kmer")).distinct()
-        hit = kmer_index(proteins, width).join(part, "kmer")
-        if width == k:
-            hit = hit.join(proteins.select("prot_idx", "seq"), "prot_idx").where(F.substring("seq", F.col("start") + 1, F.length("peptide")) == F.col("peptide"))
-        hit = hit.select("peptide", "prot_idx", "start")
-        out = hit if out is None else out.unionByName(hit)
-    return out if out is not None else kmer_index(proteins.limit(0), 1).select(F.lit("").alias("peptide"), "prot_idx", "start")
+    """peptide, prot_idx, start: each place, overlapping ones too. The first k residues meet the index, and the rest is checked; a shorter peptide meets the beginning of a k-mer of its width."""
+    wanted = peptides.where("peptide <> ''").select("peptide").distinct()
+    long = wanted.where(F.length("peptide") >= k).withColumn("kmer", F.substring("peptide", 1, k))
+    hit = kmer_index(proteins, k).join(long, "kmer").join(proteins.select("prot_idx", "seq"), "prot_idx")
+    out = hit.where(F.substring("seq", F.col("start") + 1, F.length("peptide")) == F.col("peptide")).select("peptide", "prot_idx", "start")
+    short = wanted.where(F.length("peptide") < k)
+    for width in range(1, k):
+        part = short.where(F.length("peptide") == width).select("peptide", F.col("peptide").alias("kmer"))
+        out = out.unionByName(kmer_index(proteins, width).join(part, "kmer").select("peptide", "prot_idx", "start"))
+    return out
 
 
 def coverage(proteins: DataFrame, hits: DataFrame) -> DataFrame:
@@ -83,7 +85,8 @@ def mass_to_peptides(proteins: DataFrame, masses: DataFrame, tol: float, longest
     """Stretches of up to ``longest`` residues whose mass is near each (mass_id, mass)."""
     from .band_join import band_join
 
-    at = proteins.select("prot_idx", F.posexplode(P.prefix_masses("seq")).alias("stop", "total"))
+    each = proteins.select("prot_idx", F.posexplode(P.residue_masses("seq")).alias("stop", "m"))
+    at = each.select("prot_idx", "stop", F.sum("m").over(Window.partitionBy("prot_idx").orderBy("stop")).alias("total"))  # a window is one text
     starts = at.select("prot_idx", (F.col("stop") + 1).alias("start"), F.col("total").alias("before")).unionByName(proteins.select("prot_idx", F.lit(0).alias("start"), F.lit(0.0).alias("before")))
     widths = starts.withColumn("stop", F.explode(F.sequence(F.col("start"), F.col("start") + longest - 1)))
     gaps = widths.join(at, ["prot_idx", "stop"]).select("prot_idx", "start", "stop", (F.col("total") - F.col("before")).alias("gap"))

@@ -22,11 +22,11 @@ def find(table: DataFrame, column: str, equals: str, order: str) -> DataFrame:
     return table.where(F.col(column).cast("string") == F.lit(equals)).orderBy(order).limit(1)
 
 
-def page_ranges(table: DataFrame, sort: str, size: int) -> DataFrame:
-    """page, first, last: the values of ``sort`` at the ends of each page of a table with unique values, numbered range by range."""
+def page_ranges(table: DataFrame, sort: str, size: int, tie: str | None = None) -> DataFrame:
+    """page, first, last: the values of ``sort`` at the ends of each page; ``tie`` tells rows of one value apart, so that each counts. Numbered range by range."""
     from .graph import renumber
 
-    numbered = renumber(table, sort)
+    numbered = renumber(table.select(F.struct(sort, *([tie] if tie else [])).alias("key")), "key").select(F.col(f"value.{sort}").alias("value"), "index")
     return numbered.groupBy(F.floor(F.col("index") / size).alias("page")).agg(F.min("value").alias("first"), F.max("value").alias("last"))
 
 

@@ -12,9 +12,9 @@ from .registry import query
 
 W = V.with_views
 MASS = "(SELECT * FROM (VALUES " + ", ".join(f"('{r}', {m}::DOUBLE)" for r, m in RESIDUE_MASS.items()) + ") t(r, m))"
-#: Peptides of eight residues for every third spectrum, from the letters of its number.
+#: Peptides of eight residues for every spectrum, from the letters of its number.
 LETTERS = "GASPVTCLNDQKEMHFRYW"
-CAND = W("peaks", "spectra") + f""", c AS (SELECT spec_idx, array_to_string([substr('{LETTERS}', CAST(1 + (spec_idx * k + k * k) % 19 AS INTEGER), 1) FOR k IN range(1, 9)], '') AS peptide FROM spectra WHERE spec_idx % 3 = 0),
+CAND = W("peaks", "spectra") + f""", c AS (SELECT spec_idx, array_to_string([substr('{LETTERS}', CAST(1 + (spec_idx * k + k * k) % 19 AS INTEGER), 1) FOR k IN range(1, 9)], '') AS peptide FROM spectra),
 l AS (SELECT spec_idx, peptide, i, t.m FROM c, range(1, 9) u(i), {MASS} t WHERE t.r = substr(peptide, CAST(i AS INTEGER), 1)),
 x AS (SELECT spec_idx, peptide, 'b' AS ion, i AS position, sum(m) OVER (PARTITION BY spec_idx ORDER BY i) + 1.007825035 AS ion_mz FROM l UNION ALL SELECT spec_idx, peptide, 'y', 9 - i, sum(m) OVER (PARTITION BY spec_idx ORDER BY i DESC) + 18.010564686 + 1.007825035 FROM l),
 a AS (SELECT x.*, peak_no, mz, intensity FROM x JOIN peaks p ON p.spec_idx = x.spec_idx AND abs(ion_mz - mz) <= 5.000001 WHERE position < 8)"""
@@ -22,7 +22,7 @@ a AS (SELECT x.*, peak_no, mz, intensity FROM x JOIN peaks p ON p.spec_idx = x.s
 
 def _candidates(spark, d):
     letter = lambda k: F.substring(F.lit(LETTERS), (1 + (F.col("spec_idx") * k + k * k) % 19).cast("int"), F.lit(1))
-    return V.spectra(spark, d).where("spec_idx % 3 = 0").select("spec_idx", F.concat(*[letter(k) for k in range(1, 9)]).alias("peptide"))
+    return V.spectra(spark, d).select("spec_idx", F.concat(*[letter(k) for k in range(1, 9)]).alias("peptide"))
 
 
 def _annotated(spark, d):
@@ -68,12 +68,12 @@ def annotate_propagate(spark, d):
 
 
 @query(
-    W("psms") + """, a AS (SELECT scan * 8 + psm_no AS spec_idx, CASE WHEN db_index % 3 = 0 THEN 'AC(S,79.97)K' ELSE 'ACSK' END AS annotation, charge, score FROM psms WHERE annotation_id % 20 = 0),
+    W("psms") + """, a AS (SELECT scan * 8 + psm_no AS spec_idx, CASE WHEN db_index % 3 = 0 THEN 'AC(S,79.97)K' ELSE 'ACSK' END AS annotation, charge, score FROM psms),
     p AS (SELECT * FROM a WHERE annotation = 'ACSK' QUALIFY row_number() OVER (PARTITION BY charge ORDER BY score DESC, spec_idx) = 1)
     SELECT a.spec_idx, a.annotation, 'ACSK' AS bare, a.charge, p.spec_idx AS plain_idx, p.score AS plain_score FROM a JOIN p ON p.charge = a.charge WHERE a.annotation <> 'ACSK'"""
 )
 def annotate_pair_modified(spark, d):
-    p = V.psms(spark, d).where("annotation_id % 20 = 0").selectExpr("scan * 8 + psm_no spec_idx", "case when db_index % 3 = 0 then 'AC(S,79.97)K' else 'ACSK' end annotation", "charge", "score")
+    p = V.psms(spark, d).selectExpr("scan * 8 + psm_no spec_idx", "case when db_index % 3 = 0 then 'AC(S,79.97)K' else 'ACSK' end annotation", "charge", "score")
     return A.pair_modified(p)
 
 

@@ -64,7 +64,7 @@ MODULES: dict[str, Module] = {
     "parsimony": Module(lambda matches: psms.parsimony(matches), ("matches",)),
     "qc_spectral_pairs": Module(lambda matches, detected: pairs.quality_of_pairs(matches, detected, [4, 6, 8]), ("matches", "detected")),
     "statistics": Module(lambda annotated, spectra, ion_types: reports.annotation_stats(annotated, spectra, ion_types), ("annotated", "spectra"), {"ion_types": int}, {"ion_types": 2}),
-    "report_sps_stats": Module(reports.project_stats, ("contigs",)),
+    "report_project_stats": Module(reports.project_stats, ("contigs",)),
     "protein_coverage": Module(proteins.coverage, ("proteins", "hits")),
     "tag_search": Module(lambda proteins_, tags, tag_len, tolerance, min_flanks: proteins.find_tags(proteins_, tags, tag_len, tolerance, min_flanks), ("proteins_", "tags"), {"tag_len": int, "tolerance": float, "min_flanks": int}, {"tag_len": 6, "tolerance": 0.4, "min_flanks": 1}),
     "cluster_info": Module(lambda members: reports.cluster_summary(members, sorted(r[0] for r in members.select("file_group").distinct().collect())), ("members",)),

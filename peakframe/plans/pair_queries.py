@@ -10,12 +10,11 @@ from . import views as V
 from .registry import query
 
 W = V.with_views
-SOME = "(SELECT * FROM spectra WHERE parent_mass BETWEEN 1000 AND 1500)"
-CAND = f", s AS {SOME}, cand AS (SELECT a.spec_idx AS spec1, b.spec_idx AS spec2, b.parent_mass - a.parent_mass AS delta FROM s a JOIN s b ON a.spec_idx < b.spec_idx AND abs(a.parent_mass - b.parent_mass) <= 0.5)"
+CAND = ", cand AS (SELECT a.spec_idx AS spec1, b.spec_idx AS spec2, b.parent_mass - a.parent_mass AS delta FROM spectra a JOIN spectra b ON a.spec_idx < b.spec_idx AND abs(a.parent_mass - b.parent_mass) <= 0.5)"
 
 
 def _candidates(spark, d):
-    return Q.candidate_pairs(V.spectra(spark, d).where("parent_mass between 1000 and 1500"), 0.0, 0.5)
+    return Q.candidate_pairs(V.spectra(spark, d), 0.0, 0.5)
 
 
 @query(W("spectra") + " SELECT a.spec_idx AS spec1, b.spec_idx AS spec2, round(b.parent_mass - a.parent_mass, 6) AS delta FROM spectra a JOIN spectra b ON a.spec_idx < b.spec_idx AND abs(a.parent_mass - b.parent_mass) <= 0.1")
@@ -24,11 +23,12 @@ def pairs_candidates(spark, d):
 
 
 @query(
-    W("spectra") + f""", s AS {SOME}, j AS (SELECT * FROM (VALUES (57.0214637230::DOUBLE), (71.0371137870::DOUBLE), (99.068413915::DOUBLE)) t(jump))
-    SELECT DISTINCT a.spec_idx AS spec1, b.spec_idx AS spec2, jump FROM s a JOIN s b ON a.spec_idx < b.spec_idx JOIN j ON abs(abs(a.parent_mass - b.parent_mass) - jump) <= 0.020001"""
+    W("spectra") + """, j AS (SELECT * FROM (VALUES (57.0214637230::DOUBLE), (71.0371137870::DOUBLE), (99.068413915::DOUBLE)) t(jump)),
+    x AS (SELECT a.spec_idx, a.parent_mass, a.parent_mass + jump * sign AS place, jump FROM spectra a, j, (VALUES (1), (-1)) t(sign))
+    SELECT DISTINCT least(x.spec_idx, b.spec_idx) AS spec1, greatest(x.spec_idx, b.spec_idx) AS spec2, jump FROM x JOIN spectra b ON b.parent_mass BETWEEN place - 0.020001 AND place + 0.020001 AND x.spec_idx <> b.spec_idx"""
 )
 def pairs_jumps(spark, d):
-    return Q.jump_pairs(V.spectra(spark, d).where("parent_mass between 1000 and 1500"), [57.0214637230, 71.0371137870, 99.068413915], 0.01)
+    return Q.jump_pairs(V.spectra(spark, d), [57.0214637230, 71.0371137870, 99.068413915], 0.01)
 
 
 MATCH = CAND + ", m AS (SELECT spec1, spec2, delta, a.peak_no AS i, b.peak_no AS j, a.mz AS mz1, b.mz AS mz2, a.intensity AS int1, b.intensity AS int2 FROM cand JOIN peaks a ON a.spec_idx = spec1 JOIN peaks b ON b.spec_idx = spec2)"
@@ -139,9 +139,9 @@ def pairs_match_ratios(spark, d):
     return r.select("spec1", "spec2", F.round("ratio1", 6).alias("ratio1"), F.round("ratio2", 6).alias("ratio2"))
 
 
-@query(W("spectra") + f", s AS {SOME} SELECT a.spec_idx AS light, b.spec_idx AS heavy, 8.0142::DOUBLE AS label FROM s a JOIN s b ON a.parent_charge = b.parent_charge AND abs(b.parent_mass - 8.0142 - a.parent_mass) <= 0.050001")
+@query(W("spectra") + " SELECT a.spec_idx AS light, b.spec_idx AS heavy, 8.0142::DOUBLE AS label FROM spectra a JOIN spectra b ON a.parent_charge = b.parent_charge AND abs(b.parent_mass - 8.0142 - a.parent_mass) <= 0.050001")
 def pairs_silac(spark, d):
-    return Q.silac_pairs(V.spectra(spark, d).where("parent_mass between 1000 and 1500"), [8.0142], 0.05)
+    return Q.silac_pairs(V.spectra(spark, d), [8.0142], 0.05)
 
 
 @query(
@@ -165,19 +165,23 @@ def pairs_binned_match(spark, d):
     return Q.binned_match(p.where("spec_idx % 2 = 0"), p.where("spec_idx % 2 = 1"), 0.01)
 
 
-TAGS = ", t AS (SELECT spec_idx, CAST(floor(mz / 5) AS BIGINT) AS tag FROM peaks WHERE mz < 120)"
+TAGS = ", t AS (SELECT spec_idx, CAST(floor(mz / 0.5::DOUBLE) AS BIGINT) AS tag FROM peaks)"
 
 
 @query(W("peaks") + TAGS + " SELECT a.spec_idx AS spec1, b.spec_idx AS spec2, count(*) AS common FROM t a JOIN t b ON a.tag = b.tag AND a.spec_idx < b.spec_idx GROUP BY ALL HAVING count(*) >= 2")
 def pairs_common_tags(spark, d):
-    return Q.tag_pairs(V.peaks(spark, d).where("mz < 120").select("spec_idx", F.floor(F.col("mz") / 5).alias("tag")), 2)
+    return Q.tag_pairs(V.peaks(spark, d).select("spec_idx", F.floor(F.col("mz") / 0.5).alias("tag")), 2)
 
 
 REACH = ", e AS (SELECT spec1 AS u, spec2 AS v FROM pairs WHERE score1 > 0.8 UNION SELECT spec2, spec1 FROM pairs WHERE score1 > 0.8), r(node, reached) AS (SELECT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.reached), cc AS (SELECT node, min(reached) AS component FROM r GROUP BY node)"
 
 
+#: Option of the graph operators here: edges count from this score on.
+LEAST = 0.8
+
+
 def _strong(spark, d):
-    return V.pairs(spark, d).where("score1 > 0.8")
+    return G.strong_edges(V.pairs(spark, d), LEAST)
 
 
 @query(W("pairs") + REACH + " SELECT component, count(*) AS nodes FROM cc GROUP BY component")

@@ -212,12 +212,12 @@ def peaks_merge_most_intense(spark, d):
 
 
 @query(
-    W("peaks", "spectra") + """, t AS (SELECT spec_idx, parent_mass / 4 AS mono, i AS isotope, parent_mass / 4 + i * 1.007825035 / parent_charge AS target FROM spectra, range(0, 3) r(i))
-    SELECT t.spec_idx, CAST(isotope AS INTEGER) AS isotope, round(coalesce(sum(intensity), 0), 6) AS intensity FROM t LEFT JOIN peaks p ON p.spec_idx = t.spec_idx AND abs(target - mz) <= 10.000001 GROUP BY ALL"""
+    W("peaks", "spectra") + """, t AS (SELECT spec_idx, k AS part, parent_mass / k AS mono, i AS isotope, parent_mass / k + i * 1.007825035 / parent_charge AS target FROM spectra, range(0, 3) r(i), range(4, 6) q(k))
+    SELECT t.spec_idx, round(mono, 6) AS mono, CAST(isotope AS INTEGER) AS isotope, round(coalesce(sum(intensity), 0), 6) AS intensity FROM t LEFT JOIN peaks p ON p.spec_idx = t.spec_idx AND abs(target - mz) <= 10.000001 GROUP BY t.spec_idx, mono, isotope"""
 )
 def peaks_envelope(spark, d):
-    precursors = V.spectra(spark, d).select("spec_idx", (F.col("parent_mass") / 4).alias("mono"), F.col("parent_charge").alias("charge"))
-    return P.envelope(V.peaks(spark, d), precursors, 3, 10.0).select("spec_idx", "isotope", *_r("intensity"))
+    precursors = V.spectra(spark, d).select("spec_idx", F.explode(F.array(F.col("parent_mass") / 4, F.col("parent_mass") / 5)).alias("mono"), F.col("parent_charge").alias("charge"))
+    return P.envelope(V.peaks(spark, d), precursors, 3, 10.0).select("spec_idx", F.round("mono", 6).alias("mono"), "isotope", *_r("intensity"))
 
 
 @query(

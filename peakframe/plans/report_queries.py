@@ -12,11 +12,11 @@ from .registry import query
 from .psm_queries import CURVE, PSMS, TOP
 
 W = V.with_views
-SEARCH = W("library", "spectra") + ", q AS (SELECT spec_idx AS query, parent_mass AS query_mz, parent_charge FROM spectra WHERE parent_mass BETWEEN 900 AND 1000), c AS (SELECT query, lib_idx, query_mz, parent_mz, abs(query_mz - parent_mz) / parent_mz * 1e6 AS ppm, round(1 - abs(query_mz - parent_mz), 6) AS score, lib_idx % 2 = 1 AS is_decoy, CASE WHEN lib_idx % 3 = 0 THEN 0.12 ELSE 0.0 END::DOUBLE AS dot_bias FROM q JOIN library ON abs(query_mz - parent_mz) <= 0.5 WHERE library_quality <= 2)"
+SEARCH = W("library", "spectra") + ", q AS (SELECT spec_idx AS query, parent_mass AS query_mz, parent_charge FROM spectra), c AS (SELECT query, lib_idx, query_mz, parent_mz, abs(query_mz - parent_mz) / parent_mz * 1e6 AS ppm, round(1 - abs(query_mz - parent_mz), 6) AS score, lib_idx % 2 = 1 AS is_decoy, CASE WHEN lib_idx % 3 = 0 THEN 0.12 ELSE 0.0 END::DOUBLE AS dot_bias FROM q JOIN library ON abs(query_mz - parent_mz) <= 0.5 WHERE library_quality <= 2)"
 
 
 def _searched(spark, d):
-    q = V.spectra(spark, d).where("parent_mass between 900 and 1000").selectExpr("spec_idx query", "parent_mass query_mz")
+    q = V.spectra(spark, d).selectExpr("spec_idx query", "parent_mass query_mz")
     c = L.candidates(q, V.library(spark, d), 0.5, 2)
     return c.withColumns({"score": F.round(1 - F.abs(F.col("query_mz") - F.col("parent_mz")), 6), "is_decoy": F.col("lib_idx") % 2 == 1, "dot_bias": F.when(F.col("lib_idx") % 3 == 0, 0.12).otherwise(0.0)})
 
@@ -88,6 +88,11 @@ def report_find(spark, d):
     return R.find(V.library(spark, d), "charge", "3", "lib_idx")
 
 
+@query(W("library") + ", n AS (SELECT parent_mz, (row_number() OVER (ORDER BY parent_mz, lib_idx) - 1) // 37 AS page FROM library) SELECT CAST(page AS BIGINT) AS page, min(parent_mz) AS first, max(parent_mz) AS last FROM n GROUP BY page")
+def report_page_ranges_of_ties(spark, d):
+    return R.page_ranges(V.library(spark, d), "parent_mz", 37, "lib_idx")
+
+
 @query(W("library") + ", n AS (SELECT lib_idx, (row_number() OVER (ORDER BY lib_idx) - 1) // 37 AS page FROM library) SELECT CAST(page AS BIGINT) AS page, min(lib_idx) AS first, max(lib_idx) AS last FROM n GROUP BY page")
 def report_page_ranges(spark, d):
     return R.page_ranges(V.library(spark, d), "lib_idx", 37)

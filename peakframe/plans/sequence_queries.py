@@ -12,7 +12,9 @@ from .psm_queries import ANNOTATED
 
 W = V.with_views
 ANN = W("psms") + f", a AS (SELECT DISTINCT concat('K.', {ANNOTATED}, CASE WHEN charge = 2 THEN '[57.02]' ELSE '' END, '.R') AS annotation FROM psms), b AS (SELECT annotation, substr(annotation, 3, length(annotation) - 4) AS s FROM a)"
-PEP = W("proteins") + ", pep AS (SELECT DISTINCT substr(seq, 1, 12) AS peptide FROM proteins WHERE length(seq) >= 12)"
+#: Peptides: each sequence cut after K and R.
+CLEAVED = "[^KR]*[KR]|[^KR]+$"
+PEP = W("proteins") + f", pep AS (SELECT DISTINCT unnest(regexp_extract_all(seq, '{CLEAVED}')) AS peptide FROM proteins)"
 MASS = "(SELECT * FROM (VALUES " + ", ".join(f"('{r}', {m}::DOUBLE)" for r, m in P.RESIDUE_MASS.items()) + ") t(r, m))"
 
 
@@ -22,7 +24,7 @@ def _ann(spark, d):
 
 
 def _pep(spark, d):
-    return V.proteins(spark, d).where("length(seq) >= 12").select(F.substring("seq", 1, 12).alias("peptide")).distinct()
+    return V.proteins(spark, d).select(F.explode(F.regexp_extract_all("seq", F.lit(CLEAVED), 0)).alias("peptide")).distinct()
 
 
 STRIP = "regexp_replace(s, '\\(([A-Z]+),[^)]*\\)', '\\1', 'g')"
@@ -51,27 +53,27 @@ def peptide_structure(spark, d):
     return _ann(spark, d).select("annotation", P.peptide_length("annotation").alias("length"), P.jump_count("annotation").alias("jumps"), P.gap_count("annotation").alias("gaps"), P.reverse_peptide("annotation").alias("reversed"), P.is_valid("annotation").alias("valid"))
 
 
-@query(PEP + " SELECT peptide, i AS n, substr(peptide, 1, i) AS prefix, right(peptide, i) AS suffix FROM pep, range(1, 13) t(i)")
+@query(PEP + " SELECT peptide, i AS n, substr(peptide, 1, i) AS prefix, right(peptide, i) AS suffix FROM (SELECT peptide, unnest(range(1, length(peptide) + 1)) AS i FROM pep)")
 def peptide_prefix_suffix(spark, d):
     both = F.arrays_zip(P.prefixes("peptide").alias("p"), P.suffixes("peptide").alias("s"))
     return _pep(spark, d).select("peptide", F.posexplode(both).alias("n", "x")).select("peptide", (F.col("n") + 1).cast("long").alias("n"), F.col("x.p").alias("prefix"), F.col("x.s").alias("suffix"))
 
 
 @query(
-    PEP + f""", l AS (SELECT peptide, i, t.m FROM pep, range(1, 13) u(i), {MASS} t WHERE t.r = substr(peptide, i, 1))
-    SELECT peptide, i AS position, round(sum(m) OVER (PARTITION BY peptide ORDER BY i), 4) AS prefix_mass FROM l"""
+    PEP + f""", l AS (SELECT peptide, i, t.m FROM (SELECT peptide, unnest(range(1, length(peptide) + 1)) AS i, unnest(string_split(peptide, '')) AS r FROM pep) u JOIN {MASS} t ON t.r = u.r)
+    SELECT peptide, i AS position, round(sum(m) OVER (PARTITION BY peptide ORDER BY i), 2) AS prefix_mass FROM l"""
 )
 def peptide_prefix_masses(spark, d):
-    return _pep(spark, d).select("peptide", F.posexplode(P.prefix_masses("peptide")).alias("p", "m")).select("peptide", (F.col("p") + 1).cast("long").alias("position"), F.round("m", 4).alias("prefix_mass"))
+    return _pep(spark, d).select("peptide", F.posexplode(P.prefix_masses("peptide")).alias("p", "m")).select("peptide", (F.col("p") + 1).cast("long").alias("position"), F.round("m", 2).alias("prefix_mass"))
 
 
 @query(
-    PEP + f""", l AS (SELECT peptide, i, t.m FROM pep, range(1, 13) u(i), {MASS} t WHERE t.r = substr(peptide, i, 1)),
-    x AS (SELECT peptide, 'b' AS ion, i AS position, sum(m) OVER (PARTITION BY peptide ORDER BY i) + 1.007825035 AS mz FROM l UNION ALL SELECT peptide, 'y', 13 - i, sum(m) OVER (PARTITION BY peptide ORDER BY i DESC) + 18.010564686 + 1.007825035 FROM l)
-    SELECT peptide, ion, position, round(mz, 4) AS mz FROM x WHERE position < 12"""
+    PEP + f""", l AS (SELECT peptide, i, t.m FROM (SELECT peptide, unnest(range(1, length(peptide) + 1)) AS i, unnest(string_split(peptide, '')) AS r FROM pep) u JOIN {MASS} t ON t.r = u.r),
+    x AS (SELECT peptide, 'b' AS ion, i AS position, sum(m) OVER (PARTITION BY peptide ORDER BY i) + 1.007825035 AS mz FROM l UNION ALL SELECT peptide, 'y', length(peptide) + 1 - i, sum(m) OVER (PARTITION BY peptide ORDER BY i DESC) + 18.010564686 + 1.007825035 FROM l)
+    SELECT peptide, ion, position, round(mz, 2) AS mz FROM x WHERE position < length(peptide)"""
 )
 def peptide_theoretical_ions(spark, d):
-    return _pep(spark, d).select("peptide", F.explode(P.theoretical_ions("peptide")).alias("x")).select("peptide", "x.ion", F.col("x.position").cast("long").alias("position"), F.round("x.mz", 4).alias("mz"))
+    return _pep(spark, d).select("peptide", F.explode(P.theoretical_ions("peptide")).alias("x")).select("peptide", "x.ion", F.col("x.position").cast("long").alias("position"), F.round("x.mz", 2).alias("mz"))
 
 
 @query(PEP + " SELECT peptide, CAST(hamming(peptide, reverse(peptide)) AS INTEGER) AS differ FROM pep")
@@ -79,7 +81,11 @@ def peptide_hamming(spark, d):
     return _pep(spark, d).select("peptide", P.hamming("peptide", F.reverse("peptide")).alias("differ"))
 
 
-@query()
+@query(
+    PEP + """, l AS (SELECT peptide, unnest(range(0, length(peptide))) AS i, unnest(string_split(peptide, '')) AS r FROM pep),
+    f AS (SELECT peptide, i, r, row_number() OVER (PARTITION BY peptide ORDER BY i) AS place, row_number() OVER (PARTITION BY peptide ORDER BY md5(concat(peptide, ':2:', i))) AS drawn FROM l WHERE r NOT IN ('R', 'K', 'P')),
+    x AS (SELECT peptide, i, r FROM l WHERE r IN ('R', 'K', 'P') UNION ALL SELECT a.peptide, a.i, b.r FROM f a JOIN f b ON a.peptide = b.peptide AND a.place = b.drawn) SELECT peptide, string_agg(r, '' ORDER BY i) AS decoy FROM x GROUP BY peptide"""
+)
 def peptide_decoys(spark, d):
     return _pep(spark, d).select("peptide", P.decoy_peptide("peptide", F.lit(2)).alias("decoy"))
 
@@ -89,7 +95,11 @@ def peptide_fold(spark, d):
     return _pep(spark, d).select("peptide", P.fold_residues("peptide").alias("folded"))
 
 
-@query()
+@query(
+    ANN + """, t AS (SELECT annotation, regexp_extract_all(s, '\\([A-Z]+,-?[0-9.]+\\)|\\[-?[0-9.]+\\]|[A-Z]') AS t FROM b), u AS (SELECT annotation, unnest(t) AS x, unnest(range(1, len(t) + 1)) AS i FROM t),
+    n AS (SELECT *, CASE WHEN x LIKE '[%' THEN 0 ELSE length(regexp_replace(x, '[^A-Z]', '', 'g')) END AS n FROM u), p AS (SELECT *, sum(n) OVER (PARTITION BY annotation ORDER BY i) AS position FROM n)
+    SELECT annotation, CAST(regexp_extract(x, '(-?[0-9.]+)[\\])]$', 1) AS DOUBLE) AS mass, CAST(position AS INTEGER) AS position, CAST(n AS INTEGER) AS length FROM p WHERE NOT regexp_full_match(x, '[A-Z]')"""
+)
 def peptide_mods_positions(spark, d):
     return _ann(spark, d).select("annotation", F.explode(P.mods_and_positions("annotation")).alias("m")).select("annotation", "m.mass", "m.position", "m.length")
 
@@ -99,15 +109,17 @@ def protein_decoys_reversed(spark, d):
     return R.reversed_decoys(V.proteins(spark, d))
 
 
-@query()
+@query(
+    W("proteins") + """, l AS (SELECT prot_idx, id, md5(seq) AS d, unnest(range(0, length(seq))) AS i, unnest(string_split(seq, '')) AS r FROM proteins WHERE seq <> ''), x AS (SELECT prot_idx, concat('XXX', id) AS id, string_agg(r, '' ORDER BY md5(concat(d, ':', i))) AS seq FROM l GROUP BY prot_idx, id, d),
+    a AS (SELECT prot_idx, id, seq FROM proteins UNION ALL SELECT * FROM x UNION ALL SELECT prot_idx, concat('XXX', id), seq FROM proteins WHERE seq = '') SELECT prot_idx, id, md5(seq) AS digest FROM a"""
+)
 def protein_decoys_shuffled(spark, d):
     return R.shuffled_decoys(V.proteins(spark, d)).select("prot_idx", "id", F.md5(F.col("seq").cast("binary")).alias("digest"))
 
 
-@query(W("proteins") + ", s AS (SELECT prot_idx, substr(seq, 1, 200) AS seq FROM proteins) SELECT substr(seq, i + 1, 4) AS kmer, count(*) AS places, count(DISTINCT prot_idx) AS proteins FROM s, range(0, 200) t(i) WHERE i + 4 <= length(seq) GROUP BY 1")
+@query(W("proteins") + ", s AS (SELECT prot_idx, seq, unnest(range(0, length(seq) - 3)) AS i FROM proteins) SELECT substr(seq, i + 1, 4) AS kmer, count(*) AS places, count(DISTINCT prot_idx) AS proteins FROM s GROUP BY 1")
 def protein_kmers(spark, d):
-    p = V.proteins(spark, d).withColumn("seq", F.substring("seq", 1, 200))
-    return R.kmer_index(p, 4).groupBy("kmer").agg(F.count("*").alias("places"), F.count_distinct("prot_idx").alias("proteins"))
+    return R.kmer_index(V.proteins(spark, d), 4).groupBy("kmer").agg(F.count("*").alias("places"), F.count_distinct("prot_idx").alias("proteins"))
 
 
 PEPS = W("proteins") + ", pep AS (SELECT DISTINCT substr(seq, 3, 9) AS peptide FROM proteins WHERE prot_idx % 50 = 0 AND length(seq) >= 12)"
@@ -138,24 +150,36 @@ def protein_coverage(spark, d):
     return R.coverage(p, hits).withColumns({"percent": F.round("percent", 4), "redundancy": F.round("redundancy", 6)})
 
 
-@query()
+@query(
+    W("proteins") + f""", w AS (SELECT prot_idx AS tag_id, substr(seq, 8, 4) AS tag, substr(seq, 5, 3) AS a, substr(seq, 12, 3) AS b FROM proteins WHERE prot_idx % 50 = 0 AND length(seq) >= 20),
+    mass(r, m) AS {MASS}, tags AS (SELECT tag_id, tag, (SELECT sum(m) FROM mass, range(1, 4) t(i) WHERE r = substr(a, CAST(i AS INTEGER), 1)) AS prefix_mass, (SELECT sum(m) FROM mass, range(1, 4) t(i) WHERE r = substr(b, CAST(i AS INTEGER), 1)) AS suffix_mass FROM w),
+    l AS (SELECT prot_idx, seq, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS r FROM proteins), c AS (SELECT prot_idx, i, sum(m) OVER (PARTITION BY prot_idx ORDER BY i) AS total FROM l JOIN mass ON l.r = mass.r UNION ALL SELECT prot_idx, 0, 0.0 FROM proteins),
+    h AS (SELECT tag_id, prot_idx, i - 1 AS start, prefix_mass, suffix_mass, seq FROM l JOIN tags ON substr(seq, i, 4) = tag),
+    e AS (SELECT h.*, x.total AS t1, y.total AS t2 FROM h JOIN c x ON x.prot_idx = h.prot_idx AND x.i = h.start JOIN c y ON y.prot_idx = h.prot_idx AND y.i = h.start + 4),
+    b AS (SELECT tag_id, e.prot_idx, start, min(start - y.i) AS before FROM e JOIN range(1, 13) w(n) ON true JOIN c y ON y.prot_idx = e.prot_idx AND y.i = start - n WHERE abs(t1 - y.total - prefix_mass) <= 0.1001 GROUP BY ALL),
+    f AS (SELECT tag_id, e.prot_idx, start, min(y.i - start - 4) AS after FROM e JOIN range(1, 13) w(n) ON true JOIN c y ON y.prot_idx = e.prot_idx AND y.i = start + 4 + n WHERE abs(y.total - t2 - suffix_mass) <= 0.1001 GROUP BY ALL)
+    SELECT b.tag_id, b.prot_idx, CAST(b.start AS INTEGER) AS start, 2 AS flanks, substr(seq, b.start - before + 1, before + 4 + after) AS peptide FROM b JOIN f ON b.tag_id = f.tag_id AND b.prot_idx = f.prot_idx AND b.start = f.start JOIN proteins p ON p.prot_idx = b.prot_idx"""
+)
 def protein_tag_search(spark, d):
-    p = V.proteins(spark, d).withColumn("seq", F.substring("seq", 1, 300))
+    p = V.proteins(spark, d)
     tags = V.proteins(spark, d).where("prot_idx % 50 = 0 and length(seq) >= 20").select(F.col("prot_idx").alias("tag_id"), F.substring("seq", 8, 4).alias("tag"), P.peptide_mass(F.substring("seq", 5, 3)).alias("prefix_mass"), P.peptide_mass(F.substring("seq", 12, 3)).alias("suffix_mass"))
     return R.find_tags(p, tags, 4, 0.1, 2)
 
 
-@query()
+@query(
+    W("proteins") + """, s AS (SELECT seq, unnest(range(0, length(seq) - 4)) AS i FROM proteins), t AS (SELECT DISTINCT substr(seq, i + 1, 5) AS tag FROM s), c AS (SELECT tag, unnest(range(0, 32)) AS c FROM t)
+    SELECT DISTINCT tag, array_to_string([CASE WHEN substr(tag, k, 1) IN ('I', 'L') THEN CASE WHEN (c >> (k - 1)) & 1 = 0 THEN 'I' ELSE 'L' END WHEN substr(tag, k, 1) IN ('Q', 'K') THEN CASE WHEN (c >> (k - 1)) & 1 = 0 THEN 'Q' ELSE 'K' END ELSE substr(tag, k, 1) END FOR k IN [1, 2, 3, 4, 5]], '') AS spelling FROM c"""
+)
 def protein_equivalent_tags(spark, d):
-    return R.equivalent_tags(V.proteins(spark, d).select(F.substring("seq", 1, 5).alias("tag")).distinct())
+    return R.equivalent_tags(R.kmer_index(V.proteins(spark, d), 5).select(F.col("kmer").alias("tag")).distinct())
 
 
 @query(
-    W("proteins") + f""", s AS (SELECT prot_idx, substr(seq, 1, 60) AS seq FROM proteins WHERE prot_idx % 5 = 0), r AS (SELECT prot_idx, i, t.m FROM s, range(0, 60) u(i), {MASS} t WHERE t.r = substr(seq, i + 1, 1)),
-    g AS (SELECT a.prot_idx, a.i AS start, b.i AS stop, (SELECT sum(m) FROM r c WHERE c.prot_idx = a.prot_idx AND c.i BETWEEN a.i AND b.i) AS gap FROM r a JOIN r b ON a.prot_idx = b.prot_idx AND b.i BETWEEN a.i AND a.i + 4),
+    W("proteins") + f""", l AS (SELECT prot_idx, unnest(range(1, length(seq) + 1)) AS i, unnest(string_split(seq, '')) AS r FROM proteins), c AS (SELECT prot_idx, i, sum(m) OVER (PARTITION BY prot_idx ORDER BY i) AS total FROM l JOIN {MASS} t ON l.r = t.r UNION ALL SELECT prot_idx, 0, 0.0 FROM proteins),
+    w AS (SELECT prot_idx, i, total, [lead(total, 1) OVER o, lead(total, 2) OVER o, lead(total, 3) OVER o, lead(total, 4) OVER o, lead(total, 5) OVER o] AS ahead FROM c WINDOW o AS (PARTITION BY prot_idx ORDER BY i)),
+    u AS (SELECT prot_idx, i AS start, total, unnest(ahead) AS later, unnest([1, 2, 3, 4, 5]) AS n FROM w), g AS (SELECT prot_idx, start, start + n - 1 AS stop, later - total AS gap FROM u WHERE later IS NOT NULL),
     q AS (SELECT * FROM (VALUES (1, 300.15::DOUBLE), (2, 411.2::DOUBLE)) t(mass_id, mass)) SELECT prot_idx, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop, mass_id, round(gap, 4) AS gap FROM g JOIN q ON abs(gap - mass) <= 0.050001"""
 )
 def protein_mass_search(spark, d):
-    p = V.proteins(spark, d).where("prot_idx % 5 = 0").withColumn("seq", F.substring("seq", 1, 60))
     masses = spark.sql("SELECT * FROM VALUES (1, 300.15D), (2, 411.2D) t(mass_id, mass)")
-    return R.mass_to_peptides(p, masses, 0.05, 5).select("prot_idx", "start", "stop", "mass_id", F.round("gap", 4).alias("gap"))
+    return R.mass_to_peptides(V.proteins(spark, d), masses, 0.05, 5).select("prot_idx", "start", "stop", "mass_id", F.round("gap", 4).alias("gap"))
