@@ -76,12 +76,20 @@ def valid_triangle(edges: list[tuple[Column, Column]], tol: float) -> Column:
 
 
 def filter_triangles(edges: DataFrame, tol: float) -> DataFrame:
-    """Edges (spec1 < spec2, unique) that are part of a triangle whose shifts add up."""
-    e = edges.select("spec1", "spec2", "shift1", "shift2")
-    ab = e.select(F.col("spec1").alias("a"), F.col("spec2").alias("b"), F.col("shift1").alias("x1"), F.col("shift2").alias("x2"))
-    bc = e.select(F.col("spec1").alias("b"), F.col("spec2").alias("c"), F.col("shift1").alias("y1"), F.col("shift2").alias("y2"))
-    ac = e.select(F.col("spec1").alias("a"), F.col("spec2").alias("c"), F.col("shift1").alias("z1"), F.col("shift2").alias("z2"))
-    tri = ab.join(bc, "b").join(ac, ["a", "c"]).where(valid_triangle([(F.col("x1"), F.col("x2")), (F.col("y1"), F.col("y2")), (F.col("z1"), F.col("z2"))], tol))
+    """Edges (spec1 < spec2, unique) that are part of a triangle whose shifts add up.
+
+    Each triangle is met at its node of least degree: a hub's edges are held by their other ends, so it makes no square of its degree.
+    """
+    degree = edges.select(F.explode(F.array("spec1", "spec2")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    of = lambda k: degree.select(F.col("node").alias(f"spec{k}"), F.col("n").alias(f"n{k}"))
+    e = edges.select("spec1", "spec2", F.struct("spec1", "spec2", "shift1", "shift2").alias("edge")).join(of(1), "spec1").join(of(2), "spec2")
+    first = F.struct("n1", "spec1") < F.struct("n2", "spec2")
+    held = e.select(F.when(first, F.col("spec1")).otherwise(F.col("spec2")).alias("node"), F.when(first, F.col("spec2")).otherwise(F.col("spec1")).alias("other"), "edge")
+    wedge = held.select("node", F.col("other").alias("x"), F.col("edge").alias("e1")).join(held.select("node", F.col("other").alias("y"), F.col("edge").alias("e2")), "node").where("x < y")
+    closed = wedge.join(edges.select(F.col("spec1").alias("x"), F.col("spec2").alias("y"), F.struct("spec1", "spec2", "shift1", "shift2").alias("e3")), ["x", "y"])
+    three = closed.select(F.array_sort(F.array("e1", "e2", "e3")).alias("t"))  # ab, ac, bc of a < b < c
+    side = lambda i: (F.col("t")[i].shift1, F.col("t")[i].shift2)
+    tri = three.where(valid_triangle([side(0), side(2), side(1)], tol)).select(F.col("t")[0].spec1.alias("a"), F.col("t")[0].spec2.alias("b"), F.col("t")[2].spec2.alias("c"))
     used = tri.select(F.explode(F.array(F.struct(F.col("a").alias("spec1"), F.col("b").alias("spec2")), F.struct(F.col("b").alias("spec1"), F.col("c").alias("spec2")), F.struct(F.col("a").alias("spec1"), F.col("c").alias("spec2")))).alias("u")).select("u.*").distinct()
     return edges.join(used, ["spec1", "spec2"], "left_semi")
 

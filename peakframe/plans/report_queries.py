@@ -26,6 +26,23 @@ def library_candidates(spark, d):
     return _searched(spark, d).select("query", "lib_idx", F.round("ppm", 4).alias("ppm"), "score")
 
 
+@query(
+    W("library", "spectra", "peaks") + """, q AS (SELECT spec_idx AS query, parent_mass AS query_mz FROM spectra), c AS (SELECT query, lib_idx FROM q JOIN library ON abs(query_mz - parent_mz) <= 0.5 AND library_quality <= 2),
+    b AS (SELECT spec_idx, CAST(floor(mz / 50 + 0.5) AS BIGINT) AS bin, sum(intensity) AS i FROM peaks GROUP BY ALL), u AS (SELECT spec_idx, bin, sqrt(i) / sqrt(sum(i) OVER (PARTITION BY spec_idx)) AS value FROM b),
+    s AS (SELECT query, lib_idx, round(coalesce((SELECT sum(x.value * y.value) FROM u x JOIN u y ON x.bin = y.bin WHERE x.spec_idx = query AND y.spec_idx = lib_idx), 0), 6) AS score FROM c)
+    SELECT query, lib_idx, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, lib_idx) AS INTEGER) AS hit FROM s WHERE score >= 0.1 QUALIFY hit <= 2"""
+)
+def library_search(spark, d):
+    """Spectra against the library by their peaks; an entry's peaks are those of the spectrum with its number."""
+    from ..operators import peaks as P
+
+    q = V.spectra(spark, d).selectExpr("spec_idx query", "parent_mass query_mz")
+    unit = P.transform_l2(P.bin_peaks(V.peaks(spark, d), 50.0), "sqrt")
+    side = lambda name: unit.select(F.col("spec_idx").alias(name), "bin", F.col("intensity").alias("value"))
+    scored = L.similarity(L.candidates(q, V.library(spark, d), 0.5, 2), side("query"), side("lib_idx")).withColumn("score", F.round("score", 6))
+    return L.top_hits(scored, 2, 0.1).select("query", "lib_idx", "score", "hit")
+
+
 @query(SEARCH + " SELECT query, lib_idx, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, lib_idx) AS INTEGER) AS hit FROM c WHERE score >= 0.6 QUALIFY hit <= 3")
 def library_top_hits(spark, d):
     return L.top_hits(_searched(spark, d), 3, 0.6).select("query", "lib_idx", "score", "hit")
