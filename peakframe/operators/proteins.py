@@ -91,3 +91,8 @@ def mass_to_peptides(proteins: DataFrame, masses: DataFrame, tol: float, longest
     widths = starts.withColumn("stop", F.explode(F.sequence(F.col("start"), F.col("start") + longest - 1)))
     gaps = widths.join(at, ["prot_idx", "stop"]).select("prot_idx", "start", "stop", (F.col("total") - F.col("before")).alias("gap"))
     return band_join(gaps, masses, "gap", "mass", tol)
+
+
+def total_coverage(covered: DataFrame) -> DataFrame:
+    """percent of all proteins' residues that are covered, from ``coverage``."""
+    return covered.agg(F.coalesce(F.try_divide(F.sum("covered") * 100, F.sum("length")), F.lit(0.0)).alias("percent"))

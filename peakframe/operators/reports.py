@@ -99,3 +99,27 @@ def parent_mass_error_ppm(parent_mz: Column, peptide_mass: Column, charge: Colum
     mono = (peptide_mass + WATER + charge * HYDROGEN) / charge
     a, b = parent_mz - mono, parent_mz - (mono + HYDROGEN / charge)
     return F.when(F.abs(a) > F.abs(b), b).otherwise(a) / mono * 1e6
+
+
+def _top(psms: DataFrame, by: str) -> DataFrame:
+    """The best match of each ``by``: the highest score, then the smallest annotation."""
+    return psms.groupBy(by).agg(F.min(F.struct((-F.col("score")).alias("s"), "annotation")).alias("top")).select(by, F.col("top.annotation").alias("annotation"), (-F.col("top.s")).alias("score"))
+
+
+def input_table(spectra: DataFrame, clusters: DataFrame, psms: DataFrame) -> DataFrame:
+    """A row for each input spectrum: its cluster and its best match, null where it has none. psms: spec_idx, annotation, score."""
+    placed = spectra.join(clusters.groupBy("spec_idx").agg(F.min("cluster_id").alias("cluster_id")), "spec_idx", "left")
+    return placed.join(_top(psms, "spec_idx"), "spec_idx", "left")
+
+
+def cluster_table(clusters: DataFrame, psms: DataFrame) -> DataFrame:
+    """A row for each cluster: its spectra, those with a match, and the best match among them."""
+    best = psms.groupBy("spec_idx").agg(F.min(F.struct((-F.col("score")).alias("s"), "annotation")).alias("top"))
+    members = clusters.select("cluster_id", "spec_idx").distinct().join(best, "spec_idx", "left")
+    return members.groupBy("cluster_id").agg(F.count("*").alias("spectra"), F.count("top").alias("matched"), F.min("top").alias("t")).select("cluster_id", "spectra", "matched", F.col("t.annotation").alias("annotation"), (-F.col("t.s")).alias("score"))
+
+
+def contig_table(contigs: DataFrame, proteins: DataFrame) -> DataFrame:
+    """A row for each contig of each protein: its spectra, peptides and longest stretch, and the protein's id. contigs: prot_idx, contig, spectra, length, peptide."""
+    per = contigs.groupBy("prot_idx", "contig").agg(F.sum("spectra").alias("spectra"), F.count_distinct("peptide").alias("peptides"), F.max("length").alias("length"))
+    return per.join(proteins.select("prot_idx", "id"), "prot_idx", "left")

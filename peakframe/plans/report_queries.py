@@ -210,3 +210,25 @@ def sets_intersect(spark, d):
 def sets_except_all(spark, d):
     p = V.psms(spark, d)
     return p.where("not is_decoy").select("annotation_id").exceptAll(p.where("is_decoy").select("annotation_id"))
+
+
+MATCHES = W("spectra", "psms", "clusters") + ", m AS (SELECT scan AS spec_idx, annotation_id AS annotation, score FROM psms WHERE psm_no <= 2), t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY spec_idx ORDER BY score DESC, annotation) = 1)"
+
+
+def _matches(spark, d):
+    return V.psms(spark, d).where("psm_no <= 2").selectExpr("scan spec_idx", "annotation_id annotation", "score")
+
+
+@query(MATCHES + ", c AS (SELECT spec_idx, min(cluster_id) AS cluster_id FROM clusters GROUP BY 1) SELECT s.spec_idx, parent_mass, parent_charge, frag_type, cluster_id, annotation, score FROM spectra s LEFT JOIN c ON c.spec_idx = s.spec_idx LEFT JOIN t ON t.spec_idx = s.spec_idx")
+def report_input_spectra(spark, d):
+    return R.input_table(V.spectra(spark, d), V.clusters(spark, d), _matches(spark, d))
+
+
+@query(MATCHES + ", x AS (SELECT DISTINCT cluster_id, spec_idx FROM clusters), y AS (SELECT x.*, annotation, score FROM x LEFT JOIN t ON t.spec_idx = x.spec_idx) SELECT cluster_id, count(*) AS spectra, count(score) AS matched, first(annotation ORDER BY score DESC NULLS LAST, annotation) AS annotation, max(score) AS score FROM y GROUP BY cluster_id")
+def report_clusters(spark, d):
+    return R.cluster_table(V.clusters(spark, d), _matches(spark, d))
+
+
+@query(CONTIGS + ", p AS (SELECT s_suppkey AS prot_idx, s_name AS id FROM supplier) SELECT c.prot_idx, contig, CAST(sum(spectra) AS BIGINT) AS spectra, count(DISTINCT peptide) AS peptides, max(length) AS length, min(id) AS id FROM c LEFT JOIN p ON p.prot_idx = c.prot_idx GROUP BY 1, 2")
+def report_contigs(spark, d):
+    return R.contig_table(_contigs(spark, d), V.table(spark, d, "supplier").selectExpr("s_suppkey prot_idx", "s_name id"))

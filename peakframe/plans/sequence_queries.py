@@ -139,15 +139,24 @@ def protein_occurrences(spark, d):
     return R.occurrences(V.proteins(spark, d), _some(spark, d))
 
 
+@query(PEPS + ", x AS (SELECT peptide, prot_idx, instr(seq, peptide) - 1 AS f FROM pep JOIN proteins ON instr(seq, peptide) > 0), r AS (SELECT DISTINCT prot_idx, unnest(range(f, f + 9)) AS residue FROM x) SELECT round((SELECT count(*) FROM r) * 100.0::DOUBLE / (SELECT sum(length(seq)) FROM proteins), 6) AS percent")
+def protein_total_coverage(spark, d):
+    return R.total_coverage(_coverage(spark, d)).withColumn("percent", F.round("percent", 6))
+
+
 @query(
     PEPS + """, x AS (SELECT peptide, prot_idx, instr(seq, peptide) - 1 AS f FROM pep JOIN proteins ON instr(seq, peptide) > 0), r AS (SELECT prot_idx, unnest(range(f, f + 9)) AS residue FROM x), n AS (SELECT prot_idx, residue, count(*) AS n FROM r GROUP BY ALL),
     c AS (SELECT prot_idx, count(*) AS covered, avg(n) AS redundancy FROM n GROUP BY prot_idx)
     SELECT p.prot_idx, coalesce(covered, 0) AS covered, CAST(length(seq) AS INTEGER) AS length, round(coalesce(covered * 100.0 / nullif(length(seq), 0), 0), 4) AS percent, round(redundancy, 6) AS redundancy FROM proteins p LEFT JOIN c ON c.prot_idx = p.prot_idx"""
 )
 def protein_coverage(spark, d):
+    return _coverage(spark, d).withColumns({"percent": F.round("percent", 4), "redundancy": F.round("redundancy", 6)})
+
+
+def _coverage(spark, d):
     p = V.proteins(spark, d)
     hits = R.proteins_with(p, _some(spark, d)).join(p.select("prot_idx", "seq"), "prot_idx").select("prot_idx", (F.instr("seq", F.col("peptide")) - 1).alias("first")).withColumn("last", F.col("first") + 8)
-    return R.coverage(p, hits).withColumns({"percent": F.round("percent", 4), "redundancy": F.round("redundancy", 6)})
+    return R.coverage(p, hits)
 
 
 @query(
