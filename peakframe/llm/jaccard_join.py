@@ -11,10 +11,10 @@ from the similarities found follows how many pairs such prefixes miss: a pair of
 with probability 1 - (1 - s^d)^TREES, so each one found stands for the inverse of that. Once the measured recall reaches ``TARGET``
 the walk ends; at the latest it ends at the depth where pairs at the threshold itself are met so often.
 
-Each class has a home: the largest node in which it meets others at first, or a part of it, if it is large. Homes whose classes
-share a node are a block, and all of the block's classes that share one are compared with each other, by exact verification, in
-one task's work; a pair belongs to the block of its two homes, so it counts once however often it meets. Blocks that a shorter
-prefix makes larger are done again. Tasks return sums and a spanning forest, never pairs.
+Each class has a home with those that have the same smallest class among all that they meet at first and those that these meet, or a
+part of it, if they are many. Homes whose classes share a node are a block, and all of the block's classes that share one are compared with each other, by
+exact verification, in one task's work; a pair belongs to the block of its two homes, so it counts once however often it meets.
+Blocks that a shorter prefix makes larger are done again. Tasks return sums and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -197,20 +197,41 @@ def forest(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def shared_nodes(classes: DataFrame, level: int) -> DataFrame:
-    """key, rep, and size and weight of the node, for each class and each node that it shares with others at that level (0: whole labels)."""
+    """key, rep, its weight, and the node's hub (its smallest class), for each class and each node that it shares with others at that level (0: whole labels)."""
     at = classes.select(F.explode(F.element_at("keys", level + 1)).alias("key"), "rep", "weight").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
-    nodes = at.groupBy("key").agg(F.count("*").alias("c"), F.sum("weight").alias("w")).where("c > 1")
+    nodes = at.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).where("c > 1")
     nodes = nodes.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))  # a node of a third of all classes is several tasks' rows
-    return at.join(nodes, ["key", "salt"]).select("key", "rep", "c", "w")
+    return at.join(nodes, ["key", "salt"]).select("key", "rep", "weight", "hub")
+
+
+def homes_of(at: DataFrame, level: int) -> DataFrame:
+    """rep, home: classes with the same smallest hub among their nodes' and those of the others there, in parts by weight.
+
+    One step further than the own nodes' hubs brings nearly all of a group of near copies together, whatever trees they meet in.
+    """
+    first = at.groupBy("rep").agg(F.min("hub").alias("first"))
+    wider = at.select("key", "rep").join(first, "rep").groupBy("key").agg(F.min("first").alias("hub"))
+    wider = wider.withColumn("salt", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])))
+    own = at.select("key", "rep", "weight").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).join(wider, ["key", "salt"])
+    own = own.groupBy("rep", "weight").agg(F.min("hub").alias("hub")).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
+    parts = own.groupBy("hub").agg(F.ceil(F.sum("weight") / PART).alias("parts"), F.array(*[F.lit(k).cast("long") for k in range(SALTS)]).alias("salts"))
+    placed = own.join(parts.select("hub", "parts", F.explode("salts").alias("salt")), ["hub", "salt"])
+    return placed.select("rep", F.xxhash64("hub", F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(level)).alias("home"))
 
 
 def blocks(at: DataFrame, homes: DataFrame) -> DataFrame:
-    """a, b, rep, home: for each pair of homes a <= b that share a node, their classes that are in one."""
-    placed = at.select("key", "rep").join(homes, "rep")
+    """a, b, rep, home: for each pair of homes a <= b that share a node, their classes that are in one.
+
+    Nodes with the same homes are one for this: a group that meets in every tree is dealt once, not once a tree.
+    """
+    placed = cut(at.select("key", "rep").join(homes, "rep"))
     inside = placed.select("key", "home").distinct()
-    pairs = inside.withColumnRenamed("home", "a").join(inside.withColumnRenamed("home", "b"), "key").where("a <= b")
-    sides = pairs.select("key", "a", "b", F.col("a").alias("home")).unionByName(pairs.where("a < b").select("key", "a", "b", F.col("b").alias("home")))
-    return placed.join(sides, ["key", "home"]).select("a", "b", "rep", "home").distinct()
+    alike = cut(inside.groupBy("key").agg(F.bit_xor(F.xxhash64("home")).alias("s1"), F.bit_xor(F.xxhash64("home", F.lit(1))).alias("s2"), F.collect_set("home").alias("homes")))  # a home is some PART of a node
+    members = placed.join(alike.select("key", "s1", "s2"), "key").select("s1", "s2", "home", "rep").distinct()
+    once = alike.groupBy("s1", "s2").agg(F.first("homes").alias("homes"))
+    sides = once.select("s1", "s2", F.explode("homes").alias("home"), F.col("homes").alias("others")).select("s1", "s2", "home", F.explode("others").alias("other"))
+    rows = members.join(sides, ["s1", "s2", "home"])
+    return rows.select(F.least("home", "other").alias("a"), F.greatest("home", "other").alias("b"), "rep", "home").distinct()
 
 
 _RESULT = "a long, b long, rep long, links long, hub long, found double, stand_for array<double>"
@@ -276,9 +297,7 @@ def match(documents: DataFrame, classes: DataFrame, threshold: float = THRESHOLD
     for level, depth in enumerate(depths):
         at = cut(shared_nodes(known, level))
         new = at if homes is None else at.join(homes.select("rep"), "rep", "left_anti")
-        new = new.groupBy("rep").agg(F.max(F.struct("c", "key", "w")).alias("node"))
-        part = F.pmod(F.xxhash64("rep"), F.ceil(F.col("node.w") / PART))
-        new = new.select("rep", F.xxhash64("node.key", part).alias("home"))
+        new = homes_of(new, level)
         homes = cut(new if homes is None else homes.unionByName(new))
         rows = cut(blocks(at, homes))
         sizes = rows.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1")

@@ -77,8 +77,7 @@ def test_chains_do_not_compare_all_with_all(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in J.join(docs).collect()) == sorted(brute([tuple(r) for r in docs.collect()]))
     classes = J.sketch(docs).selectExpr("f1", "f2", "doc_id rep", "1L n", "size weight", "keys")
     at = J.shared_nodes(classes, 0)
-    homes = at.groupBy("rep").agg(F.max(F.struct("c", "key")).alias("node")).select("rep", F.col("node.key").alias("home"))
-    assert max(r["count"] for r in J.blocks(at, homes).groupBy("a", "b").count().collect()) < 60
+    assert max(r["count"] for r in J.blocks(at, J.homes_of(at, 0)).groupBy("a", "b").count().collect()) < 60
 
 
 def test_awkward(spark):
