@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import peptides as P
-from .band_join import band_join
+from .band_join import SLACK, band_join
 
 
 def theoretical(matches: DataFrame) -> DataFrame:
@@ -15,8 +15,17 @@ def theoretical(matches: DataFrame) -> DataFrame:
 
 
 def annotate(peaks: DataFrame, matches: DataFrame, tol: float) -> DataFrame:
-    """Peaks within tolerance of an ion of their spectrum's peptide: spec_idx, peptide, ion, position, ion_mz, peak_no, mz, intensity."""
-    return band_join(theoretical(matches), peaks.select("spec_idx", "peak_no", "mz", "intensity"), "ion_mz", "mz", tol, ["spec_idx"])
+    """Peaks within tolerance of an ion of their spectrum's peptide: spec_idx, peptide, ion, position, ion_mz, peak_no, mz, intensity.
+
+    A spectrum's peaks meet its peptides as one list and are compared within the row: ions are neither shuffled nor, where
+    the planner takes the exploded table for a small one, sent to all tasks.
+    """
+    lists = peaks.groupBy("spec_idx").agg(F.collect_list(F.struct("peak_no", "mz", "intensity")).alias("p"))
+    both = matches.select("spec_idx", "peptide").join(lists.hint("merge"), "spec_idx")
+    ions = both.select("spec_idx", "peptide", "p", F.explode(P.theoretical_ions("peptide")).alias("x"))
+    near = F.filter("p", lambda k: F.abs(F.col("x.mz") - k.mz) <= tol + SLACK)
+    hit = ions.select("spec_idx", "peptide", "x.ion", "x.position", F.col("x.mz").alias("ion_mz"), F.explode(near).alias("k"))
+    return hit.select("spec_idx", "peptide", "ion", "position", "ion_mz", "k.peak_no", "k.mz", "k.intensity")
 
 
 def extract_ions(annotated: DataFrame, ions: list[str], longest: int) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import duckdb
 
+from peakframe.operators import annotation as A
 from peakframe.plans import views as V
+from peakframe.plans.catalog import QUERIES
 
+from .conftest import SMALL
 from .test_catalog import _key
 
 
@@ -15,3 +18,24 @@ def test_pairs_are_rounded_as_the_sql_does(spark, tmp_path):
     found = c.execute(V.with_views("pairs") + " SELECT spec1, spec2, score1, score2, shift1, shift2 FROM pairs").fetchall()
     got = V.pairs(spark, str(tmp_path)).select("spec1", "spec2", "score1", "score2", "shift1", "shift2").collect()
     assert sorted(map(_key, got)) == sorted(map(_key, found))
+
+
+def _executed(df):
+    """The physical plan as the planner chose it, without a run."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_ions_are_not_broadcast(spark):
+    """The peptides of many spectra look like a small table, and their ions are not."""
+    for name in ("annotate_ions", "annotate_error_histogram", "annotate_best_peptide", "annotate_ion_vectors", "annotate_ion_cosine"):
+        plan = _executed(QUERIES[name](spark, SMALL))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, name
+
+
+def test_annotation_within_rows_equals_all_comparisons(spark):
+    peaks = [(s, k, 50.0 + 37.03 * k + s, float(k)) for s in range(6) for k in range(12)] + [(9, 1, float("nan"), 1.0), (None, 1, 72.0, 1.0)]
+    p = spark.createDataFrame(peaks, "spec_idx long, peak_no int, mz double, intensity double")
+    m = spark.createDataFrame([(0, "GAS"), (1, "ACDK"), (1, "SAG"), (3, ""), (4, None), (9, "GAS"), (77, "GAS"), (None, "GAS")], "spec_idx long, peptide string")
+    got = sorted(tuple(r) for r in A.annotate(p, m, 3.0).select("spec_idx", "peptide", "ion", "position", "peak_no").collect())
+    ions = A.theoretical(m).where("spec_idx is not null").collect()
+    assert got == sorted((i.spec_idx, i.peptide, i.ion, i.position, k) for i in ions for s, k, mz, _ in peaks if s == i.spec_idx and abs(i.ion_mz - mz) <= 3.0 + 1e-6) and got
