@@ -90,7 +90,7 @@ def mass_to_peptides(proteins: DataFrame, masses: DataFrame, tol: float, longest
     starts = at.select("prot_idx", (F.col("stop") + 1).alias("start"), F.col("total").alias("before")).unionByName(proteins.select("prot_idx", F.lit(0).alias("start"), F.lit(0.0).alias("before")))
     widths = starts.withColumn("stop", F.explode(F.sequence(F.col("start"), F.col("start") + longest - 1)))
     gaps = widths.join(at, ["prot_idx", "stop"]).select("prot_idx", "start", "stop", (F.col("total") - F.col("before")).alias("gap"))
-    return band_join(gaps, masses, "gap", "mass", tol)
+    return band_join(gaps, masses, "gap", "mass", tol, small=True)
 
 
 def total_coverage(covered: DataFrame) -> DataFrame:
