@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..functions import peptides as P
+from ..session import importable
+from .band_join import SLACK
 
 
 def reversed_decoys(proteins: DataFrame, prefix: str = "XXX") -> DataFrame:
@@ -53,9 +59,16 @@ def proteins_with(proteins: DataFrame, peptides: DataFrame, k: int = 5) -> DataF
     return occurrences(proteins, peptides, k).select("peptide", "prot_idx").distinct()
 
 
-def occurrences(proteins: DataFrame, peptides: DataFrame, k: int = 5) -> DataFrame:
-    """peptide, prot_idx, start: each place, overlapping ones too. The first k residues meet the index, and the rest is checked; a shorter peptide meets the beginning of a k-mer of its width."""
+#: Peptides up to this number are sent to all tasks, where each text is read once and nothing is shuffled; more of them meet the index in a join.
+SENT = 300_000
+
+
+def occurrences(proteins: DataFrame, peptides: DataFrame, k: int = 5, sent: int = SENT) -> DataFrame:
+    """peptide, prot_idx, start: each place, overlapping ones too. The first residues (k at most) find the places, and the whole peptide is checked there."""
     wanted = peptides.where("peptide <> ''").select("peptide").distinct()
+    some = [r[0] for r in wanted.limit(sent + 1).collect()]
+    if len(some) <= sent:
+        return _places(proteins, some, min(k, 5))
     long = wanted.where(F.length("peptide") >= k).withColumn("kmer", F.substring("peptide", 1, k))
     hit = kmer_index(proteins, k).join(long, "kmer").join(proteins.select("prot_idx", "seq"), "prot_idx")
     out = hit.where(F.substring("seq", F.col("start") + 1, F.length("peptide")) == F.col("peptide")).select("peptide", "prot_idx", "start")
@@ -66,6 +79,37 @@ def occurrences(proteins: DataFrame, peptides: DataFrame, k: int = 5) -> DataFra
     return out
 
 
+def _places(proteins: DataFrame, peptides: list[str], k: int) -> DataFrame:
+    """Places of given peptides: five bits of each of the first residues make a number, by which places are looked up in a table before the text is compared."""
+    importable(proteins.sparkSession)
+    sent = proteins.sparkSession.sparkContext.broadcast(peptides)
+    schema = StructType([StructField("peptide", StringType()), StructField("prot_idx", proteins.schema["prot_idx"].dataType), StructField("start", IntegerType())])
+    out_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        code = lambda x, w: sum((x[j : len(x) - w + 1 + j] << np.uint32(5 * (w - 1 - j)) for j in range(w)), np.zeros(len(x) - w + 1, np.uint32))
+        letters = lambda text: np.frombuffer(text.encode("utf-32-le"), np.uint32) & np.uint32(31)
+        tables: dict[int, tuple[np.ndarray, dict[int, list[str]]]] = {}
+        for p in sent.value:
+            w = min(k, len(p))
+            there, of = tables.setdefault(w, (np.zeros(1 << 5 * w, bool), {}))
+            c = int(code(letters(p[:w]), w)[0])
+            there[c] = True
+            of.setdefault(c, []).append(p)
+        for b in batches:
+            found: list[tuple] = []
+            for at, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = letters(text or "")
+                for w, (there, of) in tables.items():
+                    if len(x) >= w:
+                        c = code(x, w)
+                        near = np.flatnonzero(there[c])
+                        found += [(p, at, i) for i, n in zip(near.tolist(), c[near].tolist(), strict=True) for p in of[n] if text.startswith(p, i)]
+            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(list(zip(*found, strict=True)) or [(), (), ()], out_schema.types, strict=True)], schema=out_schema)
+
+    return proteins.select("prot_idx", "seq").mapInArrow(run, schema)
+
+
 def coverage(proteins: DataFrame, hits: DataFrame) -> DataFrame:
     """prot_idx, covered, length, percent, redundancy (hits for each covered residue) of hits (prot_idx, first, last), first from 0."""
     at = hits.select("prot_idx", F.explode(F.sequence("first", "last")).alias("residue")).groupBy("prot_idx", "residue").agg(F.count("*").alias("n"))
@@ -82,15 +126,34 @@ def equivalent_tags(tags: DataFrame) -> DataFrame:
 
 
 def mass_to_peptides(proteins: DataFrame, masses: DataFrame, tol: float, longest: int = 12) -> DataFrame:
-    """Stretches of up to ``longest`` residues whose mass is near each (mass_id, mass)."""
-    from .band_join import band_join
-
-    each = proteins.select("prot_idx", F.posexplode(P.residue_masses("seq")).alias("stop", "m"))
-    at = each.select("prot_idx", "stop", F.sum("m").over(Window.partitionBy("prot_idx").orderBy("stop")).alias("total"))  # a window is one text
-    starts = at.select("prot_idx", (F.col("stop") + 1).alias("start"), F.col("total").alias("before")).unionByName(proteins.select("prot_idx", F.lit(0).alias("start"), F.lit(0.0).alias("before")))
-    widths = starts.withColumn("stop", F.explode(F.sequence(F.col("start"), F.col("start") + longest - 1)))
-    gaps = widths.join(at, ["prot_idx", "stop"]).select("prot_idx", "start", "stop", (F.col("total") - F.col("before")).alias("gap"))
-    return band_join(gaps, masses, "gap", "mass", tol, small=True)
+    """Stretches of up to ``longest`` residues whose mass is near each (mass_id, mass): prot_idx, start, stop, gap, mass_id, mass.
+
+    ``masses`` is a literal table. Each text's running masses are compared in one task; texts are never exploded or shuffled.
+    """
+    importable(proteins.sparkSession)
+    wanted = [tuple(r) for r in masses.select("mass_id", "mass").collect() if r["mass"] is not None]
+    weight = np.zeros(256)
+    for letter, m in P.RESIDUE_MASS.items():
+        weight[ord(letter)] = m
+    texts = proteins.select("prot_idx", P.unmodified("seq").alias("seq"))
+    kinds = {f.name: f.dataType for f in [*proteins.schema, *masses.schema]}
+    schema = StructType([StructField("prot_idx", kinds["prot_idx"]), StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("gap", DoubleType()), StructField("mass_id", kinds["mass_id"]), StructField("mass", kinds["mass"])])
+    out_schema = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            for k, text in zip(b.column(0), b.column(1), strict=True):
+                if not text.is_valid:
+                    continue
+                total = np.concatenate([[0.0], np.cumsum(weight[np.frombuffer(text.as_py().encode(), np.uint8)])])
+                for n in range(1, min(longest, len(total) - 1) + 1):
+                    gap = total[n:] - total[:-n]
+                    for mass_id, mass in wanted:
+                        at = np.flatnonzero(np.abs(gap - float(mass)) <= tol + SLACK)
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(at), out_schema.types[0]), pa.array(at, pa.int32()), pa.array(at + n - 1, pa.int32()), pa.array(gap[at]), pa.array([mass_id] * len(at), out_schema.types[4]), pa.array([mass] * len(at), out_schema.types[5])], schema=out_schema)
+
+    return texts.mapInArrow(run, schema)
 
 
 def total_coverage(covered: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from peakframe.operators import annotation as A
 from peakframe.operators import pairs as Q
+from peakframe.operators import proteins as R
 from peakframe.plans import views as V
 from peakframe.plans.catalog import QUERIES
 
@@ -56,3 +57,19 @@ def test_matches_of_listed_pairs_move_no_pairs(spark):
     cols = ["spec1", "spec2", "i", "j"]
     got = sorted(map(tuple, df.select(cols).collect()))
     assert got and got == sorted(map(tuple, plain.select(cols).collect()))
+
+
+def test_protein_searches_shuffle_no_texts(spark):
+    for name in ("protein_occurrences", "protein_search", "protein_coverage", "protein_total_coverage", "protein_mass_search"):
+        plan = _executed(QUERIES[name](spark, SMALL))
+        assert "kmer" not in plan and plan.count("MapInArrow") == 1 and "Window" not in plan, name
+
+
+def test_occurrences_by_both_ways(spark):
+    texts = [(1, "ACDACDACDEFG"), (2, "AAAAAAAA"), (3, ""), (4, None), (5, "ĀCDEFGĀCDEFG"), (6, "acdefgACDEFG")]
+    peptides = ["ACD", "AA", "ACDEFG", "CDEFG", "ĀCDEFG", "W", "AAAAAAA", "", None]
+    p = spark.createDataFrame(texts, "prot_idx long, seq string")
+    w = spark.createDataFrame([(x,) for x in peptides], "peptide string")
+    want = sorted((x, k, i) for k, t in texts for x in peptides if x and t for i in range(len(t)) if t.startswith(x, i))
+    for sent in (0, 100):
+        assert sorted(map(tuple, R.occurrences(p, w, sent=sent).collect())) == want
