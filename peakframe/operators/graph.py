@@ -38,7 +38,10 @@ def split_by_set(edges: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def cap_component_size(edges: DataFrame, most: int, step: float = 0.1, rounds: int = 1000) -> DataFrame:
-    """Drops the weakest edges (those under the least score + ``step``) of components over ``most`` nodes, again and again, until none is."""
+    """Drops the weakest edges (those under the least score + ``step``) of components over ``most`` nodes, again and again, until none is.
+
+    Joins are sorted, as tables of nodes and components grow with the graph and must not be sent through the driver.
+    """
     edges = cut_lineage(edges)
     for _ in range(rounds):
         cc = connected_components(edges, "spec1", "spec2")
@@ -46,9 +49,9 @@ def cap_component_size(edges: DataFrame, most: int, step: float = 0.1, rounds: i
         over = cut_lineage(over)
         if over.isEmpty():
             break
-        inside = edges.join(cc, F.col("spec1") == F.col("node")).drop("node").join(over.withColumn("over", F.lit(True)), "component", "left")
+        inside = edges.join(cc.hint("merge"), F.col("spec1") == F.col("node")).drop("node").join(over.withColumn("over", F.lit(True)).hint("merge"), "component", "left")
         bar = inside.where("over").groupBy("component").agg((F.min("score1") + step).alias("bar"))
-        kept = inside.join(bar, "component", "left").where(F.col("bar").isNull() | (F.col("score1") >= F.col("bar")))
+        kept = inside.join(bar.hint("merge"), "component", "left").where(F.col("bar").isNull() | (F.col("score1") >= F.col("bar")))
         edges = cut_lineage(kept.select(edges.columns))
     else:
         raise RuntimeError(f"components are still over {most} nodes after {rounds} rounds; a step above 0 ends sooner")

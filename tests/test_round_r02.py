@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from peakframe.operators import annotation as A
 from peakframe.operators import pairs as Q
 from peakframe.operators import proteins as R
+from peakframe.operators.components import _with_least
 from peakframe.plans import views as V
 from peakframe.plans.catalog import QUERIES
 
@@ -73,3 +74,9 @@ def test_occurrences_by_both_ways(spark):
     want = sorted((x, k, i) for k, t in texts for x in peptides if x and t for i in range(len(t)) if t.startswith(x, i))
     for sent in (0, 100):
         assert sorted(map(tuple, R.occurrences(p, w, sent=sent).collect())) == want
+
+
+def test_stars_are_not_broadcast(spark):
+    e = spark.createDataFrame([(2, 1), (3, 1), (4, 3)], "u long, v long")
+    df = _with_least(e, e.groupBy("u").agg(F.min("v").alias("m")))
+    assert "SortMergeJoin" in _executed(df) and "Broadcast" not in _executed(df) and sorted(map(tuple, df.select("u", "v", "m").collect())) == [(2, 1, 1), (3, 1, 1), (4, 3, 3)]
