@@ -2,8 +2,8 @@
 
 Random splits isolate unusual documents after few steps; the mean path length gives the anomaly score. The forest
 is grown on rows labelled good, so that it knows what is usual among them, and the threshold comes from labelled rows
-that it hasn't seen. Both come from a bounded sample of labelled documents (``SAMPLE``), halved by a hash of doc_id;
-every document is scored, in one pass that shuffles nothing.
+that it hasn't seen. A hash of doc_id halves the labelled documents, and all of them count: the medians are those of all rows of the one half,
+each tree draws its rows from all of these (as few as the method asks for), and the threshold is chosen over the scores of the whole other half. Every document is scored, in one pass that shuffles nothing.
 """
 
 from __future__ import annotations
@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, labelled_sample, map_arrow, texts
+from .common import batch, cut, map_arrow, texts
+from .jaccard_join import mix
 
-#: Labelled documents that the forest and its threshold are fitted on, at most.
-SAMPLE = 20_000
 TREES, TREE_ROWS, WINDOW = 100, 256, 8
 #: Of the rows labelled good, at most this share may fail by the threshold.
 GOOD_LOST = 0.005
+#: Decimal places of a score, so that scores of any number of rows are counted in a table of bounded size.
+PLACES = 6
 #: Statistics that rules look at: symbols a word and share of repeated lines (their roots, as both are mostly 0), shares of capitals and of letters,
 #: the commonest mark a word, characters a word. The base rule judges number of words and repeated words already.
 STATISTICS = ["symbols", "repeated_lines", "upper", "letters", "top_mark", "word_length"]
@@ -112,15 +113,20 @@ def average_path(n: float) -> float:
 
 
 class IsolationForest:
-    """Trees as arrays; a node holds (statistic, split, left, right), a leaf its depth and the path still to go."""
+    """Trees as arrays; a node holds (statistic, split, left, right), a leaf its depth and the path still to go.
 
-    def __init__(self, stats: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7):
+    ``median`` and ``draws``, the rows that each tree is grown on, may be given where the rows themselves are too many to hold.
+    """
+
+    def __init__(self, stats: np.ndarray | None, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7, median: np.ndarray | None = None, draws: list[np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
-        self.median = np.median(stats[:, :-2], axis=0)
-        rows = steadied(stats, self.median)
-        self.size = min(tree_rows, len(rows))
+        if draws is None:
+            median = np.median(stats[:, :-2], axis=0)
+            draws = [stats[rng.choice(len(stats), min(tree_rows, len(stats)), replace=False)] for _ in range(trees)]
+        self.median = median
+        self.size = len(draws[0])
         self.deepest = max(1, math.ceil(math.log2(max(2, self.size))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)]
+        self.trees = [self._grow(steadied(rows, median), rng) for rows in draws]
 
     def _grow(self, rows: np.ndarray, rng) -> tuple[np.ndarray, ...]:
         statistic, split, left, length = [], [], [], []
@@ -152,19 +158,26 @@ class IsolationForest:
                 inner = f >= 0
                 node = np.where(inner, left[node] + (rows[each, np.maximum(f, 0)] >= split[node]), node)
             total += length[node]
-        return np.exp2(-total / len(self.trees) / max(average_path(self.size), 1e-9))
+        return np.round(np.exp2(-total / len(self.trees) / max(average_path(self.size), 1e-9)), PLACES)
 
 
-def choose_threshold(scores: np.ndarray, good: np.ndarray, good_lost: float = GOOD_LOST) -> float:
-    """The score above which most bad rows lie, with no more than a share of the good ones; above all scores if there are no bad rows."""
+def choose_threshold(scores: np.ndarray, good: np.ndarray, good_lost: float = GOOD_LOST, counts: np.ndarray | None = None) -> float:
+    """The score above which most bad rows lie, with no more than a share of the good ones; above all scores if there are no bad rows. ``counts``: rows that each score stands for."""
     if not len(scores) or good.all():
         return float("inf")
     if not good.any():
         return float("-inf") if len(scores) else float("inf")
     candidates = np.unique(np.r_[scores, np.inf])
-    g, b = np.sort(scores[good]), np.sort(scores[~good])
-    lost = 1 - np.searchsorted(g, candidates, "left") / len(g)
-    caught = 1 - np.searchsorted(b, candidates, "left") / len(b)
+    counts = np.ones(len(scores), np.int64) if counts is None else counts
+
+    def beyond(some):
+        """Share of the rows at each candidate or above."""
+        order = np.argsort(scores[some], kind="stable")
+        below = np.r_[0, np.cumsum(counts[some][order])]
+        return 1 - below[np.searchsorted(scores[some][order], candidates, "left")] / below[-1]
+
+    g = np.sort(scores[good])
+    lost, caught = beyond(good), beyond(~good)
     allowed = lost <= good_lost
     gain = np.where(allowed, caught - lost, -1)
     best = int(np.argmax(gain))
@@ -174,28 +187,96 @@ def choose_threshold(scores: np.ndarray, good: np.ndarray, good_lost: float = GO
     return float((candidates[best] + below[-1]) / 2) if len(below) else float(candidates[best])
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[IsolationForest, float] | None:
-    """Forest and threshold from at most about ``sample`` labelled documents (label ``quality``, 1 is good); None without a good one.
+def medians(measured: DataFrame, rows: int) -> np.ndarray:
+    """Exact medians of the statistics of ``rows`` rows, none of them below 0: their bits are settled 16 at a time, by counts of a bounded number of kinds."""
+    last = len(STATISTICS)
+    ranks = [(rows - 1) // 2, rows // 2]
+    prefix, left = np.zeros((last, 2), np.uint64), np.tile(np.array(ranks, np.int64), (last, 1))
+    fields = [("k", pa.int32()), ("side", pa.int32()), ("digit", pa.int64()), ("c", pa.int64())]
+    for shift in (48, 32, 16, 0):
+
+        def run(batches, shift=shift, prefix=prefix.copy()):
+            out: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                x = np.array(b.column(0).to_pylist(), np.float64).reshape(-1, last + 2)[:, :last] + 0.0
+                bits = np.ascontiguousarray(x.T).view(np.uint64)
+                for k in range(last):
+                    for side in range(2):
+                        alike = bits[k] if shift == 48 else bits[k][bits[k] >> np.uint64(shift + 16) == prefix[k, side]]
+                        digits = (alike >> np.uint64(shift)) & np.uint64(0xFFFF)
+                        out[k, side] = out.get((k, side), 0) + np.bincount(digits.astype(np.int64), minlength=1 << 16)
+            for (k, side), c in out.items():
+                at = np.flatnonzero(c)
+                if len(at):
+                    yield batch(fields, [pa.array([k] * len(at), pa.int32()), pa.array([side] * len(at), pa.int32()), at, c[at]])
+
+        kinds = map_arrow(measured.select("s"), run, "k int, side int, digit long, c long").groupBy("k", "side", "digit").agg(F.sum("c").alias("c")).collect()
+        for k in range(last):
+            for side in range(2):
+                for digit, c in sorted((r.digit, r.c) for r in kinds if (r.k, r.side) == (k, side)):
+                    if left[k, side] < c:
+                        prefix[k, side] = (prefix[k, side] << np.uint64(16)) | np.uint64(digit)
+                        break
+                    left[k, side] -= c
+    return prefix.view(np.float64).mean(axis=1)
+
+
+def drawn_rows(measured: DataFrame, rows: int, trees: int = TREES, tree_rows: int = TREE_ROWS) -> list[np.ndarray]:
+    """For each tree its rows: those of all that a hash of doc_id and the tree puts first."""
+    share = min(1.0, 2 * tree_rows / max(1, rows))
+    most = np.uint64(min(int(share * (1 << 64)), (1 << 64) - 1))
+    fields = [("tree", pa.int32()), ("h", pa.int64()), ("s", pa.list_(pa.float64()))]
+    seeds = mix(np.arange(1, trees + 1, dtype=np.uint64))
+
+    def run(batches):
+        for b in batches:
+            ids = mix(np.array(b.column(0).to_pylist(), np.int64).view(np.uint64))
+            stats = b.column(1).to_pylist()
+            h = mix(ids[:, None] ^ seeds[None, :])
+            at, tree = np.nonzero(h <= most)
+            if len(at):
+                yield batch(fields, [tree, (h[at, tree] ^ np.uint64(1 << 63)).view(np.int64), [stats[k] for k in at.tolist()]])
+
+    found: dict[int, list] = {}
+    for r in map_arrow(measured.select("doc_id", "s"), run, "tree int, h long, s array<double>").collect():
+        found.setdefault(r.tree, []).append((r.h, r.s))
+    least = min(tree_rows, rows)
+    if len(found) < trees or min(map(len, found.values())) < least:
+        raise RuntimeError("a tree's share of the rows is short of the number that it draws")
+    return [np.array([s for _, s in sorted(found[t])[:least]]) for t in range(trees)]
+
+
+def fit(documents: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
+    """Forest and threshold from all labelled documents (label ``quality``, 1 is good); None without a good one.
 
     Of several labels of a doc_id the largest counts, of several texts of one the least by its statistics.
     """
-    chosen = texts(documents).join(F.broadcast(labelled_sample(labels, "quality", sample)), "doc_id")
-    fields = [("doc_id", pa.int64()), ("y", pa.int32()), ("s", pa.list_(pa.float64()))]
+    fields = [("doc_id", pa.int64()), ("s", pa.list_(pa.float64()))]
 
     def run(batches):
         for b in batches:
-            yield batch(fields, [b.column(0), b.column(1), [measure(t.as_py())[1] for t in b.column(2)]])
-
-    measured = map_arrow(chosen.select("doc_id", "y", "text"), run, "doc_id long, y int, s array<double>")
-    half = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))
-    rows = sorted(map(tuple, measured.groupBy("doc_id", "y").agg(F.min("s")).select("*", half).collect()))
-    x, good, seen = np.array([r[2] for r in rows]).reshape(-1, len(STATISTICS) + 2), np.array([r[1] == 1 for r in rows], bool), np.array([r[3] == 0 for r in rows], bool)
-    passing = ~base_fails(x[:, -2], x[:, -1])
-    x, good, seen = x[passing], good[passing], seen[passing]
-    if not (good & seen).any():
+            yield batch(fields, [b.column(0), [measure(t.as_py())[1] for t in b.column(1)]])
+
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    measured = map_arrow(texts(documents).where("doc_id is not null"), run, "doc_id long, s array<double>").groupBy("doc_id").agg(F.min("s").alias("s"))  # counts are shuffled, not texts
+    words, repeats = F.element_at("s", -2), F.element_at("s", -1)
+    seen = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)) == 0
+    rows = cut(measured.join(known, "doc_id").where(~base_fails(words, repeats)).select("doc_id", "s", (F.col("y") == 1).alias("good"), seen.alias("seen")))
+    grown_on = rows.where("good and seen")
+    n = grown_on.count()
+    if not n:
         return None
-    forest = IsolationForest(x[good & seen])
-    return forest, choose_threshold(forest.score(x[~seen]), good[~seen])
+    forest = IsolationForest(None, median=medians(grown_on, n), draws=drawn_rows(grown_on, n))
+    scored_fields = [("good", pa.bool_()), ("score", pa.float64())]
+
+    def score(batches):
+        for b in batches:
+            if b.num_rows:
+                yield batch(scored_fields, [b.column(1), forest.score(np.array(b.column(0).to_pylist()))])
+
+    table = map_arrow(rows.where("not seen").select("s", "good"), score, "good boolean, score double").groupBy("score", "good").agg(F.count("*").alias("c")).collect()
+    table = sorted((r.score, r.good, r.c) for r in table)
+    return forest, choose_threshold(np.array([r[0] for r in table]), np.array([r[1] for r in table], bool), counts=np.array([r[2] for r in table], np.int64))
 
 
 def assess(documents: DataFrame, model: tuple[IsolationForest, float] | None) -> DataFrame:

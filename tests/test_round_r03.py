@@ -2,10 +2,13 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from peakframe.llm import jaccard_join as J
+from peakframe.llm import quality as Q
 
+from .llm.cases import labels
 from .llm.test_jaccard_join import near_copies
 
 
@@ -25,3 +28,27 @@ def test_join_lets_go_of_its_shuffles(spark, monkeypatch):
     time.sleep(1)
     held.append(_shuffles(spark) - before)
     assert len(held) == 4 and held[-1] < 1.5 * held[1]
+
+
+def test_quality_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    """More labelled rows than any sample held: medians are those of all, and each row can be drawn and counts for the threshold."""
+    n = 24_000
+    docs = spark.range(n).selectExpr("id doc_id", "repeat(concat('word', cast(id % 7 as string), ' Other, text more of it! '), 5 + cast(id % 11 as int)) text")
+    marks = spark.range(n).selectExpr("id doc_id", "cast(id % 10 > 0 as int) quality", "0 toxic")
+    monkeypatch.setattr(Q, "base_fails", lambda words, repeats: words < 0)
+    told = {}
+    monkeypatch.setattr(Q, "medians", lambda m, rows, f=Q.medians: told.update(grown=rows, median=f(m, rows), rows=m.collect()) or told["median"])
+    monkeypatch.setattr(Q, "choose_threshold", lambda *a, f=Q.choose_threshold, **k: (told.update(counted=int(k["counts"].sum())), f(*a, **k))[1])
+    assert Q.fit(docs, marks) is not None
+    good = n * 9 // 10
+    assert told["grown"] + told["counted"] > good and told["grown"] == len(told["rows"]) and n / 2.2 < told["counted"] < n / 1.8
+    assert told["grown"] + told["counted"] == n - sum(1 for r in marks.selectExpr("quality", "pmod(xxhash64(doc_id, 3), 2) h").collect() if r.quality == 0 and r.h == 0)
+    assert (told["median"] == np.median(np.array([r.s for r in told["rows"]])[:, :-2], axis=0)).all()
+
+
+def test_threshold_by_counts():
+    rng = np.random.default_rng(3)
+    scores, good = np.round(rng.random(5000) ** 2, 2), rng.random(5000) < 0.8
+    scores[good] *= 0.5
+    kinds, counts = np.unique(np.stack([scores, good], 1), axis=0, return_counts=True)
+    assert Q.choose_threshold(kinds[:, 0], kinds[:, 1] == 1, counts=counts) == Q.choose_threshold(scores, good)
