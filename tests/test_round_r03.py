@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from peakframe.llm import jaccard_join as J
 from peakframe.llm import quality as Q
 from peakframe.operators import kernels as K
+from peakframe.operators import library as L
 from peakframe.operators import pair_blocks as B
 from peakframe.operators import pairs as P
+from peakframe.operators import peak_lists as M
 from peakframe.operators import peaks as T
 from peakframe.plans.catalog import QUERIES
 
@@ -141,3 +143,45 @@ def test_pairs_are_not_shuffled(spark):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
         above = plan[: plan.index("MapInArrow")]
         assert "Join" not in above and "Aggregate" not in above and plan.count("SortMergeJoin") == 1, name
+
+
+@pytest.mark.parametrize("part,elements", [(8192, 1 << 18), (7, 64)])
+def test_search_in_blocks_equals_joins(spark, monkeypatch, part, elements):
+    monkeypatch.setattr(B, "PART", part)
+    monkeypatch.setattr(B, "ELEMENTS", elements)
+    s, p = _spectra(spark)
+    q = s.select(F.col("spec_idx").alias("query"), F.col("parent_mass").alias("query_mz"))
+    q = q.unionByName(q.where("query < 9").withColumn("query_mz", F.col("query_mz") + 0.2))  # a query of two masses
+    lib = s.where("spec_idx % 2 = 0").selectExpr("spec_idx lib_idx", "parent_mass + 0.1 parent_mz", "cast(1 + spec_idx % 3 as int) library_quality")
+    unit = T.transform_l2(T.bin_peaks(p, 50.0), "sqrt")
+    side = lambda name: unit.select(F.col("spec_idx").alias(name), "bin", F.col("intensity").alias("value"))
+    columns = ("query", "lib_idx", "score", "hit")
+    joined = L.similarity(L.candidates(q.distinct(), lib, 0.5, 2), side("query"), side("lib_idx"))
+    joined = joined.groupBy("query", "lib_idx", "query_mz").agg(F.round(F.first("score") / F.count("*"), 6).alias("score"))
+    for k, least in ((2, 0.1), (3, 0.0)):
+        got = _rows(L.search(q.where("query >= 9"), lib, side("query"), side("lib_idx"), 0.5, k, least, 2, 6), *columns)
+        assert got and got == _rows(L.top_hits(joined.where("query >= 9"), k, least), *columns)
+    twice = L.search(q, lib, side("query"), side("lib_idx"), 0.5, 2, 0.0, 2, 6).where("query < 9").groupBy("query").agg(F.count("*").alias("c"), F.max("hit").alias("h"))
+    assert all(r.c == r.h <= 2 for r in twice.collect())  # both masses' hits are ranked together
+
+
+@pytest.mark.parametrize("part", [200_000, 5])
+def test_bin_candidates_equal_all_meetings(spark, monkeypatch, part):
+    monkeypatch.setattr(M, "BIN_PART", part)
+    monkeypatch.setattr(B, "ELEMENTS", 512 if part == 5 else B.ELEMENTS)
+    _, p = _spectra(spark)
+    p = p.unionByName(spark.createDataFrame([(None, 1, 100.0, 1.0), (5, 50, None, 1.0)] + [(8000, k, float(k), 1.0) for k in range(400)], p.schema))
+    bins = {}
+    for r in p.collect():
+        if r.spec_idx is not None and r.mz is not None:
+            bins.setdefault(r.spec_idx, set()).add(int(r.mz // 2))
+    for least in (1, 2, 3):
+        want = sorted((a, b, len(x & y)) for a, x in bins.items() if a % 10 == 0 for b, y in bins.items() if a != b and len(x & y) >= least)
+        assert want and _rows(M.bin_candidates(p.where("spec_idx % 10 = 0"), p, 2.0, least), "query", "spec_idx", "bins") == want
+
+
+def test_searches_make_no_candidate_rows(spark):
+    for name, joins in (("library_search", 2), ("pairs_bin_candidates", 0)):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().sparkPlan().toString()
+        above = plan[: plan.index("MapInArrow")]
+        assert "Join" not in above and plan.count("SortMergeJoin") == joins, name
