@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField,
 from ..functions import peptides as P
 from ..session import importable
 from .band_join import SLACK
+from .shuffled import shuffled
 
 
 def reversed_decoys(proteins: DataFrame, prefix: str = "XXX") -> DataFrame:
@@ -20,10 +21,17 @@ def reversed_decoys(proteins: DataFrame, prefix: str = "XXX") -> DataFrame:
 
 def shuffled_decoys(proteins: DataFrame, prefix: str = "XXX") -> DataFrame:
     """Each sequence's letters in an order given by a digest of the sequence and the place."""
-    letters = F.filter(F.split("seq", ""), lambda r: r != "")
-    mixed = F.array_sort(F.transform(letters, lambda r, i: F.struct(F.md5(F.concat_ws(":", "__d", i.cast("string")).cast("binary")).alias("k"), r.alias("r"))))
-    drawn = proteins.withColumn("__d", F.md5(F.col("seq").cast("binary")))
-    return proteins.unionByName(drawn.withColumns({"id": F.concat(F.lit(prefix), F.col("id")), "seq": F.array_join(F.transform(mixed, lambda x: x.r), "")}).drop("__d"))
+    importable(proteins.sparkSession)
+    name, seq = proteins.columns.index("id"), proteins.columns.index("seq")
+
+    def run(batches):
+        for b in batches:
+            yield b
+            mixed = pa.array(shuffled(b.column(seq).to_pylist()), b.schema.field(seq).type)
+            called = pa.array([None if x is None else f"{prefix}{x}" for x in b.column(name).to_pylist()], b.schema.field(name).type)
+            yield b.set_column(seq, b.schema.field(seq), mixed).set_column(name, b.schema.field(name), called)
+
+    return proteins.mapInArrow(run, proteins.schema)
 
 
 def kmer_index(proteins: DataFrame, k: int, stretch: int = 400) -> DataFrame:
