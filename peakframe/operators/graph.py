@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components, cut_lineage
+from ..session import importable
+from .components import connected_components, contracted_components, cut_lineage, let_go, roots_of
+
+#: Edges of a component that one task settles; edges that it takes together, in whole components.
+ALONE, TOGETHER = 1_000_000, 200_000
+STILL = "components are still over {most} nodes after {rounds} rounds; a step above 0 ends sooner"
 
 
 def strong_edges(edges: DataFrame, least: float) -> DataFrame:
@@ -40,22 +50,83 @@ def split_by_set(edges: DataFrame, sets: DataFrame) -> DataFrame:
 def cap_component_size(edges: DataFrame, most: int, step: float = 0.1, rounds: int = 1000) -> DataFrame:
     """Drops the weakest edges (those under the least score + ``step``) of components over ``most`` nodes, again and again, until none is.
 
-    Joins are sorted, as tables of nodes and components grow with the graph and must not be sent through the driver.
+    What goes depends on the component alone, so that components are found once and each of up to ``ALONE`` edges is settled within a task; one with more
+    loses edges round by round until its pieces are small enough. Joins are sorted, as tables of nodes and components grow with the graph and must not be
+    sent through the driver.
     """
+    settled, columns = [], edges.columns
     edges = cut_lineage(edges)
-    for _ in range(rounds):
-        cc = connected_components(edges, "spec1", "spec2")
-        over = cc.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component")
-        over = cut_lineage(over)
-        if over.isEmpty():
+    for done in range(rounds):
+        cc = contracted_components(edges, "spec1", "spec2")
+        over = cc.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most).select("component", F.lit(True).alias("over"))
+        inside = edges.join(cc.hint("merge"), F.col("spec1") == F.col("node"), "left").drop("node").join(over.hint("merge"), "component", "left")
+        inside = cut_lineage(inside)
+        capped = inside.where("over").drop("over")
+        bars = capped.groupBy("component").agg(F.count("*").alias("n"), (F.min("score1") + step).alias("bar")).where(F.col("n") > ALONE).drop("n")
+        bars = cut_lineage(bars)  # a row for each such component
+        settled += [inside.where("over is null").select(columns), _capped(capped.join(F.broadcast(bars), "component", "left_anti"), columns, most, step, rounds - done)]
+        if bars.isEmpty():
             break
-        inside = edges.join(cc.hint("merge"), F.col("spec1") == F.col("node")).drop("node").join(over.withColumn("over", F.lit(True)).hint("merge"), "component", "left")
-        bar = inside.where("over").groupBy("component").agg((F.min("score1") + step).alias("bar"))
-        kept = inside.join(bar.hint("merge"), "component", "left").where(F.col("bar").isNull() | (F.col("score1") >= F.col("bar")))
-        edges = cut_lineage(kept.select(edges.columns))
+        kept = capped.join(F.broadcast(bars), "component").where(F.col("bar").isNull() | (F.col("score1") >= F.col("bar")))
+        edges = cut_lineage(kept.select(columns))
+        let_go(edges.sparkSession)
     else:
-        raise RuntimeError(f"components are still over {most} nodes after {rounds} rounds; a step above 0 ends sooner")
-    return edges
+        raise RuntimeError(STILL.format(most=most, rounds=rounds))
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _capped(inside: DataFrame, columns: list[str], most: int, step: float, rounds: int) -> DataFrame:
+    """``cap_component_size`` of whole components, some at a time."""
+    importable(inside.sparkSession)
+
+    def settle(table):
+        ends = pa.chunked_array([*table.column("spec1").chunks, *table.column("spec2").chunks]).combine_chunks().dictionary_encode()
+        codes = pc.fill_null(ends.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        score = table.column("score1")
+        known = pc.is_valid(score).to_numpy()
+        value = pc.fill_null(pc.cast(score, pa.float64()), 0.0).to_numpy()
+        kept = surviving(codes[: len(table)], codes[len(table) :], value, known, most, step, rounds)
+        return table.select(columns).filter(pa.array(kept)).combine_chunks().to_batches()
+
+    def work(batches):
+        held, n = [], 0
+        for b in batches:
+            key = b.column("component")
+            if n >= TOGETHER and b.num_rows:
+                last = held[-1].column("component")[-1]
+                more = int(pc.sum(pc.equal(key, last)).as_py())  # sorted, so those in front
+                if more < b.num_rows:
+                    yield from settle(pa.Table.from_batches([*held, b.slice(0, more)]))
+                    held, n, b = [], 0, b.slice(more)
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+        if held:
+            yield from settle(pa.Table.from_batches(held))
+
+    return inside.repartition("component").sortWithinPartitions("component").mapInArrow(work, inside.select(columns).schema)
+
+
+def surviving(u: np.ndarray, v: np.ndarray, score: np.ndarray, known: np.ndarray, most: int, step: float, rounds: int) -> np.ndarray:
+    """Which edges stay. Ends are numbered from 0, -1 is null; ``known``: the score isn't null."""
+    stays, left, nodes = np.ones(len(u), bool), np.arange(len(u)), int(max(u.max(initial=0), v.max(initial=0))) + 1
+    for _ in range(rounds + 1):
+        a, b = u[left], v[left]
+        link = (b >= 0) & (a != b)
+        root = roots_of(a[link], b[link], nodes)
+        ends = np.unique(np.r_[a[link], b[link]])
+        over = (np.bincount(root[ends], minlength=nodes) > most)[root[a]]
+        left = left[over]
+        if not len(left):
+            return stays
+        of, s, has = root[u[left]], score[left], known[left]
+        bar = np.full(nodes, np.nan)  # as Spark's least: NaN is above all
+        np.fmin.at(bar, of[has], s[has])
+        some = np.bincount(of[has], minlength=nodes) > 0
+        good = np.where(has, np.isnan(s) | (s >= bar[of] + step), ~some[of])
+        stays[left[~good]] = False
+        left = left[good]
+    raise RuntimeError(STILL.format(most=most, rounds=rounds))
 
 
 def _long(shift1: Column, shift2: Column) -> Column:

@@ -207,7 +207,7 @@ def graph_split_by_set(spark, d):
 
 @query()
 def graph_cap_component(spark, d):
-    return G.cap_component_size(_strong(spark, d), 6).select("spec1", "spec2", "score1")
+    return G.cap_component_size(_strong(spark, d).select("spec1", "spec2", "score1"), 6)
 
 
 @query(
