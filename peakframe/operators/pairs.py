@@ -25,12 +25,23 @@ def candidate_pairs(spectra: DataFrame, low: float, high: float, pm_tol: float =
 
 
 def jump_pairs(spectra: DataFrame, jumps: list[float], pm_tol: float) -> DataFrame:
-    """Pairs whose parent masses differ by one of the jumps, within twice the tolerance."""
-    s = spectra.select("spec_idx", "parent_mass")
-    right = s.select(F.col("spec_idx").alias("other"), "parent_mass", F.explode(F.array(*[F.lit(float(j) * sign) for j in jumps for sign in (1, -1)])).alias("jump"))
-    right = right.select("other", (F.col("parent_mass") + F.col("jump")).alias("at"), F.abs("jump").alias("jump"))
-    hit = band_join(s, right, "parent_mass", "at", 2 * pm_tol)
-    return hit.where("spec_idx < other").select(F.col("spec_idx").alias("spec1"), F.col("other").alias("spec2"), "jump").distinct()
+    """Pairs whose parent masses differ by one of the jumps, within twice the tolerance.
+
+    A pair is met once for a jump, from its lighter spectrum, so that no pair is shuffled unless spectra's numbers repeat.
+    """
+    s, reach = spectra.select("spec_idx", "parent_mass"), 2 * pm_tol
+    right = s.select(F.col("spec_idx").alias("other"), "parent_mass", F.explode(F.array(*[F.lit(j) for j in sorted({abs(float(j)) for j in jumps})])).alias("jump"))
+    right = right.select("other", F.col("parent_mass").alias("mass"), (F.col("parent_mass") + F.col("jump")).alias("at"), "jump")
+    hit = band_join(s, right, "parent_mass", "at", reach)
+    back = F.abs(F.col("parent_mass") + F.col("jump") - F.col("mass")) <= reach + SLACK  # a jump within the tolerance leads either way
+    hit = hit.where((F.col("spec_idx") < F.col("other")) | ((F.col("spec_idx") > F.col("other")) & ~back))
+    found = hit.select(F.least("spec_idx", "other").alias("spec1"), F.greatest("spec_idx", "other").alias("spec2"), "jump")
+    return found if numbered_once(spectra) else found.distinct()
+
+
+def numbered_once(spectra: DataFrame) -> bool:
+    """Whether no number comes twice."""
+    return spectra.where("spec_idx is not null").groupBy("spec_idx").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
 
 
 def regular(spectra: DataFrame, peaks: DataFrame, numbers: tuple[str, ...]) -> bool:
@@ -40,7 +51,7 @@ def regular(spectra: DataFrame, peaks: DataFrame, numbers: tuple[str, ...]) -> b
         odd = odd | F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))
     if not peaks.where(odd).isEmpty():
         return False
-    return spectra.where("spec_idx is not null").groupBy("spec_idx").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    return numbered_once(spectra)
 
 
 def _sides(peaks: DataFrame, pairs: DataFrame, shift: Column | None) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from peakframe.operators import components as C
 from peakframe.operators import graph as G
+from peakframe.operators import pairs as P
+from peakframe.operators.band_join import SLACK
 
 from .test_graph import _brute
 
@@ -70,3 +72,18 @@ def test_cap_without_progress_is_an_error(spark):
     path = spark.createDataFrame([(k, k + 1, 0.5) for k in range(9)], "spec1 long, spec2 long, score1 double")
     with pytest.raises(Exception, match="still over 3 nodes"):
         G.cap_component_size(path, 3, 0.0, 20).collect()
+
+
+def test_jumps_shuffle_no_pairs(spark):
+    """No aggregate above the join, unless numbers repeat; rows as by all comparisons."""
+    rng = random.Random(3)
+    rows = [(k, round(rng.uniform(100, 130), 2)) for k in range(300)] + [(900, None), (None, 110.0)]
+    jumps, tol = [5.0, -5.0, 7.5, 0.01, 0.0], 0.02
+    for more in ([], [(5, 111.11), (6, 111.12), (6, 116.11)]):
+        df = spark.createDataFrame(rows + more, "spec_idx long, parent_mass double")
+        found = P.jump_pairs(df, jumps, tol)
+        full = [r for r in rows + more if None not in r]
+        want = {(a, b, abs(j)) for a, x in full for b, y in full for j in jumps if a < b and min(abs(abs(y - x) - abs(j)), abs(abs(y - x) + abs(j))) <= 2 * tol + SLACK}
+        got = sorted(map(tuple, found.collect()))
+        assert got == sorted(want) and {j for *_, j in got} == {5.0, 7.5, 0.01, 0.0}
+        assert ("Aggregate" in found._jdf.queryExecution().sparkPlan().toString()) == bool(more)
