@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from peakframe.operators import components as C
 from peakframe.operators import graph as G
+from peakframe.operators import pair_blocks as B
 from peakframe.operators import pairs as P
 from peakframe.operators.band_join import SLACK
 
 from .test_graph import _brute
+from .test_round_r03 import _spectra
 
 
 def _cut(edges, most, step):
@@ -87,3 +89,24 @@ def test_jumps_shuffle_no_pairs(spark):
         got = sorted(map(tuple, found.collect()))
         assert got == sorted(want) and {j for *_, j in got} == {5.0, 7.5, 0.01, 0.0}
         assert ("Aggregate" in found._jdf.queryExecution().sparkPlan().toString()) == bool(more)
+
+
+@pytest.mark.parametrize("part,elements", [(8192, 1 << 18), (7, 64)])
+def test_matches_in_blocks_equal_joins(spark, monkeypatch, part, elements):
+    """Lists go to blocks once and to the block before; rows are those of joins of pairs."""
+    monkeypatch.setattr(B, "PART", part)
+    monkeypatch.setattr(B, "ELEMENTS", elements)
+    s, p = _spectra(spark, 150)
+    p = p.unionByName(spark.createDataFrame([(3, 60, 1e300, 1.0), (5, 61, -250.0, 1.0), (12, 62, 1e300, 1.0)], p.schema))
+    for tol in (20.0, 0.0):
+        found = P.matched_within(p, s, 0.5, tol, 3)
+        joined = P.matched_peaks(p, P.candidate_pairs(s, 0.0, 0.5), tol, F.col("delta")).select("spec1", "spec2", "i", "j", F.round("mz1", 3).alias("mz1"), F.round("mz2", 3).alias("mz2"))
+        want = sorted(map(tuple, joined.collect()))
+        assert want and sorted(map(tuple, found.collect())) == want
+    assert "MapInArrow" in found._jdf.queryExecution().sparkPlan().toString()
+    twice = s.unionByName(s.where("spec_idx < 9"))
+    at, peaks = [(r.spec_idx, r.parent_mass) for r in twice.where("parent_mass is not null").collect()], {}
+    for r in p.collect():
+        peaks.setdefault(r.spec_idx, []).append(r.mz)
+    hits = [1 for a, x in at for b, y in at if a < b and abs(y - x) <= 0.5 for m in peaks.get(a, []) for n in peaks.get(b, []) if abs(m - (n + y - x)) <= 20.0 + SLACK]
+    assert P.matched_within(p, twice, 0.5, 20.0, 3).count() == len(hits)  # as often as the pair
